@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import CHUNK, pieces, text_buffer
 
 #: Bytes of labelled text that each language's automaton holds, and documents they are taken from at most.
@@ -158,6 +159,7 @@ def identify(docs: DataFrame, parser: CrossParser, text_col: str = "text", prefi
     everywhere if no language was learned; equal costs go to the language with more rows.
     rate is phrases a symbol of the winner, 1 for 'und'. Columns of those names are replaced.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(parser)
     added = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}rate"]
     docs = docs.drop(*added)

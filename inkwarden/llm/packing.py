@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import cut
 
 #: Permitted lengths of a training sequence.
@@ -71,6 +72,7 @@ def pack(docs: DataFrame, size: Column, id_col: str = "doc_id", capacities: tupl
     shard is packed alone, so memory doesn't grow with the table; repeated rows are packed as often
     as they come. An empty table gives no rows. bin_id is shard * 2**32 + number of the bin.
     """
+    ship(docs.sparkSession)
     most = max(capacities)
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
     # A row's own number spreads repeated rows; the checkpoint makes it final.

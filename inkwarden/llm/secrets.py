@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .automaton import determinise, scan, segments
 from .common import pieces, text_buffer
 
@@ -124,6 +125,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
+    ship(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     return own.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
@@ -136,6 +138,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", size_col: str | None
     null and empty ones included, stay as they are; size_col, if the table has it, is
     counted anew where a text changed.
     """
+    ship(docs.sparkSession)
     names = docs.columns
     sized = size_col in names
     out = docs.schema
