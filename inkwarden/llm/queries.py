@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, secrets, simhash, vectors
+from . import chat, fingerprints, langid, mixing, packing, secrets, simhash, toxicity, vectors
 from .common import cut, n_words, remainder, table
 
 
@@ -30,11 +30,22 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 5) != 0)
+    found = toxicity.score(docs, toxicity.learn(docs, labels))
+    return found.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.shown(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_minhash_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     parser = langid.learn(docs.where(remainder(F.col("doc_id"), 3) != 1))
@@ -56,7 +67,9 @@ QUERIES = {
         op1_secret_scan,
         op2_chat_format,
         op3_source_mixing,
+        op4_toxicity,
         op5_simhash_near_dedup,
+        op6_minhash_fingerprint,
         op7_language_id,
         op8_embedding_near_dedup,
         op10_best_fit_packing,
