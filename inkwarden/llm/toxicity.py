@@ -26,19 +26,22 @@ from .common import CHUNK, pieces
 #: Labelled documents that the model is fitted on at most, taken by least hashed id.
 SAMPLE = 20_000
 #: Code points of prefixes that are units; strength of the prior; what a unit must show to be kept.
-PREFIXES = (3, 4, 5, 6, 7)
-PRIOR, LEAST_COUNT, LEAST_Z = 20.0, 3, 3.0
-#: What every token loses, so that a segment ends; units the model may hold.
-DRIFT, MOST_UNITS = 0.05, 50_000
+PREFIXES = (4, 5, 6, 7)
+PRIOR, LEAST_COUNT, LEAST_Z = 20.0, 3, 4.5
+#: Tokens of class 0 that every unit is taken to have besides those seen.
+FLOOR = 0.5
+#: Units the model may hold.
+MOST_UNITS = 50_000
 #: Segments below this many nats of surprise don't count.
 SIGNIFICANT = 0.0
+_LONGEST_FIRST = tuple(sorted(PREFIXES, reverse=True))
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
-    default: float = -DRIFT
+    default: float = -0.01  #: log-odds of a token without a unit, negative
     rate: float = 1.0  #: lambda of the extreme-value law
     offset: float = 0.0  #: ln K
     slope: float = 0.0
@@ -75,7 +78,7 @@ def segments(positions: list[int], weights: list[float], default: float) -> list
 def weigh(text: str, model: Model) -> tuple[list[int], list[float], int]:
     """Positions and scores of the tokens that the model knows, and the number of tokens."""
     words = _WORD.findall(text.lower())
-    known, lengths = model.weights, sorted(PREFIXES, reverse=True)
+    known = model.weights
     stems = model.stems if hasattr(model, "stems") else None
     if stems is None:
         stems = model.stems = {u[: min(PREFIXES)] for u in known}
@@ -84,8 +87,9 @@ def weigh(text: str, model: Model) -> tuple[list[int], list[float], int]:
     for i, word in enumerate(words):
         if word[:low] in stems:
             weight = known.get(word + "$")
-            if weight is None:
-                weight = next((known[word[:n]] for n in lengths if len(word) >= n and word[:n] in known), None)
+            for n in _LONGEST_FIRST if weight is None else ():
+                if (weight := known.get(word[:n])) is not None:
+                    break
             if weight is not None:
                 positions.append(i)
                 weights.append(weight)
@@ -117,26 +121,35 @@ def probability(nats: float, model: Model) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.intercept + model.slope * math.log1p(nats)))))
 
 
-def _units(words: Column) -> Column:
-    """The distinct units of a text's words: prefixes, and whole words with a closing mark."""
-    cuts = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.substring(w, 1, n)) for n in PREFIXES]
-    whole = F.transform(F.filter(words, lambda w: F.length(w) >= min(PREFIXES)), lambda w: F.concat(w, F.lit("$")))
-    return F.array_distinct(F.concat(*cuts, whole))
+def _units(word: Column) -> Column:
+    """The units of a word: its prefixes, and itself with a closing mark."""
+    cuts = [F.when(F.length(word) >= n, F.substring(word, 1, n)) for n in PREFIXES]
+    return F.array_compact(F.array(*cuts, F.when(F.length(word) >= min(PREFIXES), F.concat(word, F.lit("$")))))
 
 
-def _odds(counts: list[tuple[str, float, float]], n1: float, n0: float) -> dict[str, float]:
-    """Log-odds of units that mark class 1 with enough weight; n1, n0: documents of the classes."""
-    found = []
+def _odds(counts: list[tuple[str, float, float]], n1: float, n0: float) -> tuple[dict[str, float], float, list[tuple[float, float]]]:
+    """Log-odds of units that mark class 1, of all other tokens, and the units' background shares.
+
+    n1, n0: tokens of the classes. Where units nest, a word goes by the one of greatest z, so
+    units below a shorter one of no less weight are left out.
+    """
+    found = {}
     for unit, y1, y0 in counts:
         if y1 < LEAST_COUNT:
             continue
         prior = PRIOR * (y1 + y0) / (n1 + n0)
-        a, b = y1 + prior, y0 + prior
+        a, b = y1 + prior, y0 + prior + FLOOR
         odds = math.log(a / (n1 + PRIOR - a)) - math.log(b / (n0 + PRIOR - b))
-        if odds > 0 and odds / math.sqrt(1 / a + 1 / b) >= LEAST_Z:
-            found.append((odds / math.sqrt(1 / a + 1 / b), unit, odds))
-    found.sort(reverse=True)
-    return {unit: odds for _, unit, odds in found[:MOST_UNITS]}
+        z = odds / math.sqrt(1 / a + 1 / b)
+        if odds > 0 and z >= LEAST_Z:
+            found[unit] = (z, odds, y1, y0 + prior)
+    best = dict(sorted(found.items(), key=lambda x: (-x[1][0], x[0]))[:MOST_UNITS])
+    shorter = lambda u: (u[:n] for n in PREFIXES if n < len(u) and u[:n] in best)
+    best = {u: x for u, x in best.items() if all(best[v][0] < x[0] for v in shorter(u))}
+    tops = [u for u in best if not any(True for _ in shorter(u))]
+    p1, p0 = (min(0.5, sum(best[u][k] for u in tops) / n) for k, n in ((2, n1), (3, n0)))
+    rest = min(-1e-4, math.log(1 - p1) - math.log(1 - p0))
+    return {u: x[1] for u, x in best.items()}, rest, [(best[u][3] / n0, best[u][1]) for u in tops]
 
 
 def _law(model: Model, shares: list[tuple[float, float]]) -> None:
@@ -181,8 +194,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled rows, those of least hashed id; null labels and texts teach nothing.
 
-    Units are counted by documents that hold them, in Spark; only units of at least LEAST_COUNT
-    documents of class 1 come to the driver. The calibration is fitted on documents whose units were
+    Units are counted in Spark, once for each different word of a document, so that repeated lines
+    don't weigh more; only those of at least LEAST_COUNT tokens of class 1 and a higher
+    share there come to the driver. The calibration is fitted on documents whose units were
     learned from the other half of the sample. Without labels of both classes every score is 0
     except that of a label seen alone.
     """
@@ -192,15 +206,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(sample)  # at most `sample` small rows, so they can be broadcast
     rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
     half = F.pmod(F.xxhash64("__id", F.lit("half")), F.lit(2)).cast("int")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0)))
-    held = rows.select("y", half.alias("half"), F.col(text_col).alias("text"), words.alias("words")).select("y", "half", "text", _units(F.col("words")).alias("u")).cache()
+    held = rows.select("y", half.alias("half"), F.col(text_col).alias("text")).cache()
     sides = [(y, h) for y in (1, 0) for h in (0, 1)]
-    tally = [F.count_if((F.col("y") == y) & (F.col("half") == h)).cast("double").alias(f"y{y}{h}") for y, h in sides]
-    sizes = held.agg(*tally).first()
-    counts = held.select("y", "half", F.explode("u").alias("unit")).groupBy("unit").agg(*tally).where(F.col("y10") + F.col("y11") >= LEAST_COUNT)
+    tally = lambda n: [F.sum(F.when((F.col("y") == y) & (F.col("half") == h), n).otherwise(0)).cast("double").alias(f"y{y}{h}") for y, h in sides]
+    words = held.select("y", "half", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
+    words = words.groupBy("word").agg(*tally(F.lit(1)))
+    one, zero = F.col("y10") + F.col("y11"), F.col("y00") + F.col("y01")
+    counts = words.select(F.explode(_units(F.col("word"))).alias("unit"), *(f"y{y}{h}" for y, h in sides)).groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("y10", "y11", "y00", "y01")))
+    sizes = words.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("y10", "y11", "y00", "y01"))).first()
     ones, zeros = sizes["y10"] + sizes["y11"], sizes["y00"] + sizes["y01"]
-    # What z could ever reach LEAST_Z has a higher share among the ones than among the zeros.
-    counts = counts.where((F.col("y10") + F.col("y11")) * F.lit(zeros) > (F.col("y00") + F.col("y01")) * F.lit(ones)).collect()
+    # Only what has a clearly higher share among the ones can reach LEAST_Z.
+    counts = counts.where((one >= LEAST_COUNT) & (one * F.lit(zeros) > zero * F.lit(1.2 * ones))).collect()
     model = Model()
     if not ones or not zeros:
         model.intercept = 10.0 if ones else -10.0
@@ -208,11 +224,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return model
 
     def fit(halves: tuple[int, ...]) -> Model:
-        one, zero = (sum(sizes[f"y{y}{h}"] for h in halves) for y in (1, 0))
+        n1, n0 = (max(1.0, sum(sizes[f"y{y}{h}"] for h in halves)) for y in (1, 0))
         rows = [(r["unit"], sum(r[f"y1{h}"] for h in halves), sum(r[f"y0{h}"] for h in halves)) for r in counts]
-        own = Model(_odds(rows, max(one, 1), max(zero, 1)))
-        by_unit = {u: (y0 + 0.5) / (max(zero, 1) * 400) for u, _, y0 in rows if u in own.weights}
-        _law(own, [(p, own.weights[u] - DRIFT) for u, p in by_unit.items()])
+        weights, rest, shares = _odds(rows, n1, n0)
+        own = Model(weights, rest)
+        _law(own, shares)
         return own
 
     crossed = [fit((1,)), fit((0,))]  # crossed[h] has not seen half h
