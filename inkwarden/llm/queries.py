@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, mixing, packing, secrets, simhash, toxicity, vectors
+from . import chat, fingerprints, langid, mixing, packing, secrets, simhash, suffixes, toxicity, vectors
 from .common import cut, n_words, remainder, table
 
 
@@ -57,6 +57,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.vector_links(table(spark, sf_dir, "embeddings"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), n_words(F.col("text")))
 
@@ -72,6 +76,7 @@ QUERIES = {
         op6_minhash_fingerprint,
         op7_language_id,
         op8_embedding_near_dedup,
+        op9_suffix_array_dedup,
         op10_best_fit_packing,
     )
 }
