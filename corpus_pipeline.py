@@ -1,8 +1,8 @@
 """The corpus pipeline: documents in, packed sequences out, one operator a stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
-the columns of documents. The driver writes a stage's result as Parquet and reads it again
-as the next one's docs; run() does the same in memory of the plan.
+the columns of documents. A stage's result is written as Parquet and read again as the next
+one's docs; run() does so in the session's checkpoint folder.
 """
 
 from __future__ import annotations
@@ -10,11 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwarden.llm import langid, mixing, packing, secrets
-from inkwarden.llm.common import n_words, table
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
+from inkwarden.llm import langid, mixing, packing, secrets, simhash
+from inkwarden.llm.common import n_words, stored, table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in some language; the rest (no letter, or noise) goes."""
@@ -22,6 +19,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(langid.accepts("__")).select(*docs.columns)
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of least doc_id."""
+    return simhash.one_of_each(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret in their texts replaced by its kind."""
     return secrets.redact_secrets(docs)
@@ -39,6 +41,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("language_id", language_id),
+    ("simhash_near_dedup", simhash_near_dedup),
     ("secret_scan", secret_scan),
     ("source_mixing", source_mixing),
     ("best_fit_packing", best_fit_packing),
@@ -50,6 +53,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

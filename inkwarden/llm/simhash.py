@@ -115,7 +115,7 @@ def shown(fp: Column) -> Column:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose doc_id is its component's; all columns stay.
 
-    Of repeated rows of that id one is kept; documents without an id are kept all.
+    Rows that repeat an id are one document and stay together; rows without an id stay.
     """
     found = near_duplicates(docs, id_col, text_col)
     losers = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
