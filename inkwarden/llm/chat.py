@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 # Fixed values of the template: what opens and closes a turn, and the escapes.
 # Every control string begins with < or [, so no text keeps either: \ is \e, < is \l, [ is \b, and in roles a new line is \n.
@@ -41,7 +41,8 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     messages has id (unique), parent and score. up is 0 at the leaf and grows towards the root. A
     path's score is the sum of its nodes' scores (null: 0); equal ones rank by leaf. A parent that is
     not in the table counts as none. Self-joins double the distance they bridge, so a tree of depth d
-    takes about log2(d) rounds; each round's table is written to the checkpoint folder. Nodes on or
+    takes about log2(d) rounds; each round's table is written to the checkpoint folder (paths as
+    Parquet: a checkpoint of a union can't be joined again). Nodes on or
     under a cycle have no root and give no path.
     """
     nodes = messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
@@ -71,7 +72,7 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
         higher = path.join(jumps[power].withColumnRenamed("id", "at"), F.col("id") == F.col("at")).select("root", "rank", "branch_score", "leaf", (F.col("up") + 2**power).alias("up"), F.col("anc").alias("id"))
         path = path.unionByName(higher)
         if power % 3 == 0:
-            path = cut(path)
+            path = stored(path)
     return path
 
 
