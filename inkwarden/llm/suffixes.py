@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from ..shipping import ship
-from .common import cut, partitions, text_buffer
+from .common import cut, text_buffer
 from .fingerprints import mixed
 
 LENGTH, GRAM = 50, 24
@@ -40,7 +40,7 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE**i and its inverse modulo 2**64, for i below n at least."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(18, (n - 1).bit_length())
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             step = np.full(size, base, np.uint64)
             step[0] = 1
@@ -60,6 +60,16 @@ def context_hash(raw: np.ndarray, length: np.ndarray, place: np.ndarray) -> np.n
     return mixed(raw + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def context_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring strings that fill data, a few thousand at a time."""
+    out = np.empty(len(start), np.uint64)
+    for i in range(0, len(start), 4096):
+        own, size = start[i : i + 4096] - start[i], length[i : i + 4096]
+        h = prefix_hashes(data[start[i] : start[i] + own[-1] + size[-1]])
+        out[i : i + 4096] = context_hash((h[own + size] - h[own]) * powers(len(h))[1][own], size, place[i : i + 4096])
+    return out
+
+
 @dataclass
 class Runs:
     """Neighbouring windows of one text with one anchor: starts first..last, anchor at first + place."""
@@ -206,6 +216,11 @@ def least_id(data: np.ndarray, at: np.ndarray, group: np.ndarray, ids: np.ndarra
     return out
 
 
+def squeezed(raw: bytes) -> bytes:
+    """Compressed harder than by default: moving and keeping these bytes costs more than packing them."""
+    return pa.Codec("zstd", compression_level=9).compress(raw, asbytes=True)
+
+
 def packed(docs: DataFrame, id_col: str, text_col: str, pack_bytes: int) -> DataFrame:
     """(pack, raw, ids, ends, body): texts of about pack_bytes a row, compressed, checkpointed."""
 
@@ -215,7 +230,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, pack_bytes: int) -> Data
         def row() -> pa.RecordBatch:
             whole = b"".join(texts)
             ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
-            body = pa.compress(whole, codec="zstd", asbytes=True) if whole else b""
+            body = squeezed(whole) if whole else b""
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(whole)]), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([ends.tobytes()]), pa.array([body], pa.binary())], names=["pack", "raw", "ids", "ends", "body"])
 
         for batch in batches:
@@ -233,7 +248,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, pack_bytes: int) -> Data
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packs = rows.mapInArrow(run, "pack long, raw long, ids binary, ends binary, body binary")
-    return cut(packs.repartition(max(partitions(docs.sparkSession), 12), "pack"))
+    return cut(packs)
 
 
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -331,7 +346,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
                 n = length[i:j]
                 step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 body = b"".join(x.tobytes() for x in (code[head[i:j]].astype(np.uint32), ids[found.text[head[i:j]]], found.place[head[i:j]].astype(np.uint8), count[i:j].astype(np.uint8), data[np.repeat(first[i:j], n) + step]))
-                out.append({"bucket": b, "pack": pack["pack"], "many": j - i, "raw": len(body), "body": pa.compress(body, codec="zstd", asbytes=True)})
+                out.append({"bucket": b, "pack": pack["pack"], "many": j - i, "raw": len(body), "body": squeezed(body)})
         return pa.Table.from_pylist(out, schema=_SENT)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,8 +363,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
         place, count = place.astype(np.int64), count.astype(np.int64)
         length = count + LENGTH - 1
         start = np.cumsum(length) - length
-        hashes = prefix_hashes(data)
-        context = context_hash((hashes[start + length] - hashes[start]) * powers(len(hashes))[1][start], length, place)
+        context = context_hashes(data, start, length, place)
         order = np.lexsort((ids, context, code))
         new = classes(data, order, code, context, start, length)
         number = np.empty(len(order), np.int64)
@@ -372,8 +386,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
         use = by[~alone]
         least = np.full((len(head), PLACES), NEVER, np.int64)
         least[which, window] = ids[head[which]]
-        if len(use):
-            least[which[use], window[use]] = least_id(data, start[head[which[use]]] + window[use], group[use], ids[head[which[use]]])
+        if len(use):  # only the strings in question are laid out for sorting
+            own = np.unique(which[use])
+            n = length[head[own]]
+            at = np.cumsum(n) - n
+            small = data[np.repeat(start[head[own]], n) + np.arange(int(n.sum())) - np.repeat(at, n)]
+            least[which[use], window[use]] = least_id(small, at[np.searchsorted(own, which[use])] + window[use], group[use], ids[head[which[use]]])
         mine = np.flatnonzero(torn[number])
         exact = np.zeros(len(mine), np.uint32)
         for w in range(PLACES):
