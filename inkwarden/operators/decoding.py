@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..rules import BUILTIN, Ruleset
 from ..shipping import ship
+from .matching import FRAME, FRAME_JSON
 
 # Least run, candidates in all, depth of whole-text decoders, bytes and share that make text.
 LEAST_RUN, CANDIDATES, WHOLE_DEPTH, LEAST_TEXT, PRINTABLE = 16, 32, 2, 8, 0.85
@@ -19,6 +21,7 @@ ROT_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 ROT_TO = "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm"
 LEET_FROM, LEET_TO = "4@31!05$7", "aaeiiosst"
 RUN_KINDS = ("base64", "hex", "unicode_tags")
+_ROT, _LEET = (bytes.maketrans(a.encode(), b.encode()) for a, b in ((ROT_FROM, ROT_TO), (LEET_FROM, LEET_TO)))
 
 
 def rot13(text: Column) -> Column:
@@ -112,8 +115,9 @@ def one_layer(text: str, depth: int) -> list[tuple[str, int, int, str]]:
         start = len(text[: m.start()].encode("utf-8", "surrogatepass"))
         found.append(("unicode_tags", start, start + len(m[0].encode()), "".join(chr(ord(c) - 0xE0000) for c in m[0])))
     if depth <= WHOLE_DEPTH:
+        turned = lambda table: raw.translate(table).decode("utf-8", "surrogatepass")
         leet = any(not re.fullmatch("[0-9A-Fa-f]{7,}", r) and re.search("[A-Za-z][A-Za-z0-9]*[013457][A-Za-z0-9]*[A-Za-z]", r) for r in re.findall("[A-Za-z0-9]+", text))
-        whole = [("rot13", text.translate(str.maketrans(ROT_FROM, ROT_TO))), ("reversed", text[::-1]), ("leetspeak", text.translate(str.maketrans(LEET_FROM, LEET_TO)) if leet else text)]
+        whole = [("rot13", turned(_ROT)), ("reversed", text[::-1]), ("leetspeak", turned(_LEET) if leet else text)]
         found += [(kind, 0, len(raw), out) for kind, out in whole if out != text]
     return found
 
@@ -152,26 +156,48 @@ def expand(text: str, max_depth: int = 3) -> tuple[list[dict], list[str]]:
     return found, gaps
 
 
-def decode(docs: DataFrame, text_col: str = "text", max_depth: int = 3) -> DataFrame:
-    """docs with __candidates and __gaps; the search runs in Python, in Arrow batches."""
-    ship(docs.sparkSession)
+NESTED = "found array<struct<rule_id:string,rule_class:string,severity:int,start:bigint,end:bigint,candidate:int,chain:string>>, gaps array<string>"
 
-    @F.pandas_udf("candidates array<struct<text:string,start:bigint,end:bigint,chain:array<string>>>, gaps array<string>")
-    def search(texts: pd.Series) -> pd.DataFrame:
-        both = [expand(t or "", max_depth) for t in texts]
-        return pd.DataFrame({"candidates": [b[0] for b in both], "gaps": [b[1] for b in both]})
 
-    return docs.withColumn("__d", search(F.col(text_col))).withColumns({"__candidates": F.col("__d.candidates"), "__gaps": F.col("__d.gaps")}).drop("__d")
+def firing(text: str, rules: list[tuple]) -> list[tuple]:
+    """Rules, as prepared(), that fire in a text: a literal occurs, and a match stands where the anchor allows."""
+    low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    json = bool(re.match(r"\s*[\{\[]", text)) and '":' in text
+    found = []
+    for rule, literals, pattern in rules:
+        if literals and not any(x in low for x in literals):
+            continue
+        for m in pattern.finditer(text):
+            if rule.anchor != "frame" or (FRAME_JSON_RE if json else FRAME_RE).search(text, 0, m.start()):
+                found.append(rule)
+                break
+    return found
 
 
-def decoded_observations(docs: DataFrame, ruleset: Ruleset = BUILTIN, text_col: str = "text", max_depth: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per decoded candidate and rule that fires in it; the span is that of the encoded region.
+FRAME_RE, FRAME_JSON_RE = (re.compile(f.replace(r"\z", "$(?!\n)")) for f in (FRAME, FRAME_JSON))
+
+
+def searcher(ruleset: Ruleset = BUILTIN, max_depth: int = 3) -> Callable[[Column], Column]:
+    """A column function: what rules find in the decoded forms of a text, and the gaps of the search.
 
-    Each candidate is gated on its own text, and a frame-anchored rule needs one match that begins a unit.
+    Decoded texts never leave Python: a text has up to 32 of them, most as long as itself. Candidates are
+    gated on their own text; the span of a finding is that of the encoded region in the input.
     """
-    from .matching import observations
+    ready = [(r, tuple(x.lower() for x in r.literals), re.compile(r.python_pattern)) for r in ruleset.active]
 
-    rows = decode(docs, text_col, max_depth).select(*keep, F.posexplode("__candidates").alias("candidate", "c"))
-    rows = rows.select(*keep, "candidate", F.col("c.text").alias("__text"), F.col("c.start").alias("at"), F.col("c.end").alias("to"), F.array_join("c.chain", ">").alias("chain"))
-    found = observations(rows, ruleset, "__text", 16, keep=(*keep, "candidate", "at", "to", "chain"))
-    return found.select(*keep, "candidate", "chain", "rule_id", "rule_class", "severity", F.col("at").alias("start"), F.col("to").alias("end")).distinct()
+    def search(texts: pd.Series) -> pd.DataFrame:
+        found, gaps = [], []
+        for text in texts:
+            candidates, missing = expand(text or "", max_depth)
+            found.append([{"rule_id": r.id, "rule_class": r.rule_class, "severity": r.severity, "start": c["start"], "end": c["end"], "candidate": i, "chain": ">".join(c["chain"])} for i, c in enumerate(candidates) for r in firing(c["text"], ready)])
+            gaps.append(missing)
+        return pd.DataFrame({"found": found, "gaps": gaps})
+
+    return F.pandas_udf(search, NESTED)
+
+
+def decoded_observations(docs: DataFrame, ruleset: Ruleset = BUILTIN, text_col: str = "text", max_depth: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per decoded candidate and rule that fires in it."""
+    ship(docs.sparkSession)
+    rows = docs.select(*keep, searcher(ruleset, max_depth)(F.col(text_col)).alias("d"))
+    return rows.select(*keep, F.explode("d.found").alias("f")).select(*keep, "f.*")

@@ -73,26 +73,34 @@ def _named(rule: Rule) -> Callable[[Column], Column]:
     return lambda h: F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.rule_class).alias("rule_class"), F.lit(rule.severity).alias("severity"), F.lit(rule.fires_in_quotes).alias("fires_in_quotes"), h["start"].alias("start"), h["end"].alias("end"), h["matched"].alias("matched"))
 
 
-def observations(docs: DataFrame, ruleset: Ruleset = BUILTIN, text_col: str = "text", cap: int = 16, classes: tuple[str, ...] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per finding: kept columns, rule_id, rule_class, severity, start, end, matched.
+def observation_array(text: Column, lowered: Column, json: Column, ruleset: Ruleset = BUILTIN, cap: int = 16, classes: tuple[str, ...] | None = None) -> Column:
+    """All findings of a text as an array of (rule_id, rule_class, severity, fires_in_quotes, start, end, matched).
 
     Candidates are rules whose gate opens; of each the first `cap` matches count, and of those of a
-    rule anchored to frames only the ones that begin a unit. One pass over the text, no shuffle.
+    rule anchored to frames only the ones that begin a unit.
     """
-    lowered = docs.withColumns({"__low": ascii_lower(F.col(text_col)), "__json": looks_like_json(F.col(text_col))})
     per_rule = []
     for rule in ruleset.active:
         if classes is not None and rule.rule_class not in classes:
             continue
-        hits = spans(F.col(text_col), rule.pattern, cap)
+        hits = spans(text, rule.pattern, cap)
         if rule.anchor == "frame":
-            hits = F.filter(hits, lambda h: F.when(F.col("__json"), F.left(F.col(text_col), h["chars"]).rlike(FRAME_JSON)).otherwise(F.left(F.col(text_col), h["chars"]).rlike(FRAME)))
-        told = F.transform(hits, _named(rule))
-        per_rule.append(F.when(gate(F.col("__low"), rule), told))
+            hits = F.filter(hits, lambda h: F.when(json, F.left(text, h["chars"]).rlike(FRAME_JSON)).otherwise(F.left(text, h["chars"]).rlike(FRAME)))
+        per_rule.append(F.when(gate(lowered, rule), F.transform(hits, _named(rule))))
     if not per_rule:
-        return docs.select(*keep).where(F.lit(False))
-    whole = F.flatten(F.array_compact(F.array(*per_rule)))
-    return lowered.select(*keep, F.explode(whole).alias("o")).select(*keep, "o.*")
+        return F.array().cast("array<struct<rule_id:string,rule_class:string,severity:int,fires_in_quotes:boolean,start:bigint,end:bigint,matched:string>>")
+    return F.flatten(F.array_compact(F.array(*per_rule)))
+
+
+def prepared(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with __low and __json, which every rule asks for."""
+    return docs.withColumns({"__low": ascii_lower(F.col(text_col)), "__json": looks_like_json(F.col(text_col))})
+
+
+def observations(docs: DataFrame, ruleset: Ruleset = BUILTIN, text_col: str = "text", cap: int = 16, classes: tuple[str, ...] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per finding: kept columns and what observation_array tells. One pass over the text, no shuffle."""
+    found = observation_array(F.col(text_col), F.col("__low"), F.col("__json"), ruleset, cap, classes)
+    return prepared(docs, text_col).select(*keep, F.explode(found).alias("o")).select(*keep, "o.*")
 
 
 def saturation(docs: DataFrame, ruleset: Ruleset = BUILTIN, cap: int = 16, text_col: str = "text") -> DataFrame:

@@ -127,6 +127,13 @@ def split_suppressed(found: DataFrame, suppress: bool) -> DataFrame:
     return rows.withColumn("suppressed", held)
 
 
+def markup_array(hidden: Column, found: Column) -> Column:
+    """For each comment of a row in which something was found: (start, end, severity, evidence)."""
+    inside = lambda c: F.filter(found, lambda f: (f["start"] >= c["start"]) & (f["start"] < c["end"]))
+    told = F.transform(hidden, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.array_max(F.transform(inside(c), lambda f: f["severity"])).alias("severity"), F.array_join(F.array_sort(F.array_distinct(F.transform(inside(c), lambda f: f["rule_id"]))), ",").alias("evidence")))
+    return F.filter(told, lambda t: t["severity"].isNotNull())
+
+
 def conceal_markup(found: DataFrame) -> DataFrame:
     """(doc_id, start, end, severity, evidence): each comment in which something was found.
 

@@ -356,3 +356,13 @@ def export_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def export_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.exports(scan_corpus(spark, sf_dir), _POLICY)
+
+
+@query()
+def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scan of the corpus, as a security reference: quoting suppresses."""
+    from .plans.scanner import Scanner
+    from .policy import Policy
+
+    told = Scanner(policy=Policy.for_source("security_reference")).scan(scan_corpus(spark, sf_dir))
+    return told.select("doc_id", "outcome", "score", "risk", "decision", F.size("reasons").alias("n_reasons"), F.size("suppressed").alias("n_suppressed"), F.array_join("incomplete", ",").alias("incomplete"))
