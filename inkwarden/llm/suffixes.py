@@ -266,9 +266,11 @@ def coded(found: Runs, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _by_bucket(code: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) of the slices of ascending codes."""
+    if not len(code):
+        return
     bucket = (code >> np.uint64(32)).astype(np.int64)
-    begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-    yield from zip(bucket[begin].tolist() if len(bucket) else [], list(begin), [*begin[1:], len(bucket)], strict=True)
+    begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    yield from zip(bucket[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int = PACK) -> DataFrame:
