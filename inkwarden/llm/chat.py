@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import stored
 
 # Fixed values of the template: what opens and closes a turn, and the escapes.
 # Every control string begins with < or [, so no text keeps either: \ is \e, < is \l, [ is \b, and in roles a new line is \n.
@@ -41,14 +41,14 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     messages has id (unique), parent and score. up is 0 at the leaf and grows towards the root. A
     path's score is the sum of its nodes' scores (null: 0); equal ones rank by leaf. A parent that is
     not in the table counts as none. Self-joins double the distance they bridge, so a tree of depth d
-    takes about log2(d) rounds; each round's table is written to the checkpoint folder (paths as
-    Parquet: a checkpoint of a union can't be joined again). Nodes on or
+    takes about log2(d) rounds; each round's table is written to the checkpoint folder as
+    Parquet (a checkpoint of a union can't be joined again). Nodes on or
     under a cycle have no root and give no path.
     """
     nodes = messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("id").alias("known"))
     state = nodes.join(known, F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("anc"), F.coalesce("known", "id").alias("top"), F.col("score").alias("total"))
-    state = cut(state)
+    state = stored(state)
     jumps, count = [], None
     while True:
         open_ends = state.where(F.col("anc").isNotNull())
@@ -60,9 +60,10 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
             state = state.where(F.col("anc").isNull())
             break
         jumps.append(open_ends.select("id", "anc"))
+        # Only nodes that aren't at their root yet are joined; in the end these are those of long conversations.
         ahead = state.select(F.col("id").alias("at"), F.col("anc").alias("anc2"), F.col("top").alias("top2"), F.col("total").alias("total2"))
-        state = state.join(ahead, F.col("anc") == F.col("at"), "left").select("id", F.col("anc2").alias("anc"), F.coalesce("top2", "top").alias("top"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))
-        state = cut(state)
+        further = open_ends.join(ahead, F.col("anc") == F.col("at")).select("id", F.col("anc2").alias("anc"), F.col("top2").alias("top"), (F.col("total") + F.col("total2")).alias("total"))
+        state = stored(state.where(F.col("anc").isNull()).unionByName(further))
     parents = jumps[0].select(F.col("anc").alias("known")) if jumps else known.where(F.lit(False))
     leaves = state.join(parents, F.col("id") == F.col("known"), "left_anti")
     best = Window.partitionBy("top").orderBy(F.col("total").desc(), F.col("id"))
