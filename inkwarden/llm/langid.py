@@ -30,8 +30,9 @@ UNKNOWN = "und"
 class CrossParser:
     """Suffix automata of all languages as one transition array.
 
-    Rows are states, columns symbols; a cell is (row offset of the next state) * 2, plus 1
-    where the longest match ends and the next phrase begins with this symbol.
+    Rows are states, columns symbols; a cell is (row offset of the next state) * 4, plus the phrases
+    that end there: one where the longest match ends and the next begins with this symbol, or where a
+    symbol unknown to the sample stands alone; two where both happen.
     """
 
     def __init__(self, samples: dict[str, bytes]) -> None:
@@ -48,10 +49,11 @@ class CrossParser:
             codes = self.codes(np.frombuffer(samples[language], np.uint8))[0]
             table = self._automaton(codes.tolist())
             root = table[0]
-            ends = table < 0
-            cells = np.where(ends, np.maximum(root, 0)[None, :], table)
-            tables.append((cells + base) * self.width * 2 + ends)
-            self.roots.append(base * self.width * 2)
+            cells = np.where(table < 0, np.maximum(root, 0)[None, :], table)
+            ended = (table < 0).astype(np.int64)
+            ended[1:] += ended[1:] * (root < 0)
+            tables.append((cells + base) * self.width * 4 + ended)
+            self.roots.append(base * self.width)
             self.bits.append(float(np.log2(len(codes) + 2)))
             base += len(table)
         self.cells = np.concatenate(tables).astype(np.int32).reshape(-1) if tables else np.zeros(0, np.int32)
@@ -111,15 +113,16 @@ class CrossParser:
         length = np.minimum(LANE, at[text + 1] - start)
         order = np.argsort(-length, kind="stable")
         text, start, length = text[order], start[order], length[order]
-        state = np.repeat(np.array(self.roots, np.int32)[:, None] >> 1, len(text), axis=1)
+        roots = np.array(self.roots, np.int32)[:, None]
+        state = np.repeat(roots, len(text), axis=1)
         counts = np.zeros(state.shape, np.int32)
         active = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1 if len(length) else 1), side="right")
         for t, n in enumerate(active):
             cell = self.cells[state[:, :n] + codes[start[:n] + t]]
-            counts[:, :n] += cell & 1
-            state[:, :n] = cell >> 1
+            counts[:, :n] += cell & 3
+            state[:, :n] = cell >> 2
         total = np.zeros((len(sizes), many), np.int64)
-        np.add.at(total, text, counts.T + 1)
+        np.add.at(total, text, (counts + (state != roots)).T)
         return total, sizes
 
     def judge(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
