@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import partitions, pieces
+from .common import cut, partitions, pieces, stored, text_buffer
+from .components import components
 
 #: Words of a shingle, permutations, and bits kept of each minimum.
 SHINGLE, PERMUTATIONS, BITS = 5, 128, 16
 SEED = 77003
+#: Near duplicates share SIMILARITY of their shingles; BANDS bands of ROWS minima meet such a pair but once in 20,000 times.
+SIMILARITY, BANDS, ROWS = 0.8, 25, 5
 #: Words hashed, and shingles permuted, at once; a longer word than LONG goes through BLAKE2.
 _WORDS, _SHINGLES, LONG = 1 << 17, 1 << 14, 1 << 16
 
@@ -191,3 +194,71 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     kind = ordered.schema["doc_id"].dataType.simpleString()
     return ordered.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def banded(signature: np.ndarray) -> np.ndarray:
+    """(text, band) hashes of ROWS minima each."""
+    rows = signature[:, : BANDS * ROWS].reshape(len(signature), BANDS, ROWS).astype(np.uint64)
+    return mixed((rows * _PLACE[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def jaccard(left: bytes, right: bytes) -> float:
+    """The share of shingles that two texts have in common; two texts without any are alike."""
+    sets = []
+    for text in (left, right):
+        hashes, _ = shingle_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        sets.append(np.unique(hashes))
+    both = len(np.intersect1d(*sets, assume_unique=True))
+    return both / (len(sets[0]) + len(sets[1]) - both) if len(sets[0]) + len(sets[1]) else 1.0
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) whose texts are as alike as that."""
+
+    @F.pandas_udf("double")
+    def likeness(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x.encode(), y.encode()) for x, y in zip(left, right, strict=True)])
+
+    one = texts.select(F.col("rep").alias("a"), F.col("text").alias("x"))
+    two = texts.select(F.col("rep").alias("b"), F.col("text").alias("y"))
+    return pairs.join(one, "a").join(two, "b").where(likeness("x", "y") >= similarity).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id): classes of texts linked by Jaccard similarity of word shingles.
+
+    Equal texts are one node, under their least id. Nodes that share a band meet; each is compared with the
+    least node of its bucket, and what that links is merged. Only where a bucket then still holds several
+    classes are members of different classes compared with each other, so a large group of near copies costs
+    one comparison a member and no link is lost. Similarities are exact, from the texts. Null texts are
+    empty; rows without an id are classed by their text, under a null if no equal text has an id.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("key", F.md5(F.col("text").cast("binary")))
+    nodes = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("text", F.coalesce("doc_id", F.lit(0))).alias("text"))
+    nodes = stored(nodes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            hashes = banded(signatures(*text_buffer(batch.column("text"))))
+            lists = pa.ListArray.from_arrays(np.arange(len(hashes) + 1, dtype=np.int32) * BANDS, hashes.reshape(-1))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), lists], names=["rep", "bands"])
+
+    known = nodes.where(F.col("rep").isNotNull()).select("rep", "text")
+    kind = known.schema["rep"].dataType.simpleString()
+    placed = cut(known.mapInArrow(run, f"rep {kind}, bands array<bigint>")).select("rep", F.posexplode("bands").alias("band", "h"))
+    buckets = placed.groupBy("band", "h").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = cut(placed.join(buckets, ["band", "h"]))
+    star = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    first = cut(_verified(star, known, similarity))
+    roots = components(first)
+    classed = members.join(roots, F.col("rep") == F.col("node"), "left").select("band", "h", "rep", "lead", F.coalesce("root", "rep").alias("root"))
+    split = classed.groupBy("band", "h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "h")
+    rest = cut(classed.join(split, ["band", "h"]).where("rep <> lead"))
+    one, two = (rest.select("band", "h", F.col("rep").alias(n), F.col("root").alias(f"root_{n}")) for n in ("a", "b"))
+    cross = one.join(two, ["band", "h"]).where("root_a < root_b").select("a", "b").distinct()
+    edges = first.unionByName(_verified(cross, known, similarity))
+    final = components(stored(edges))
+    named = nodes.join(final, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("root", "rep").alias("class_id"))
+    return rows.select("doc_id", "key").join(named, F.col("key") == F.col("k")).select("doc_id", "class_id")

@@ -147,6 +147,31 @@ def test_fingerprints(odd, empty, texts):
     assert fingerprints.fingerprint(texts("only one here")).first()["near_next"] == 1.0
 
 
+def test_minhash_classes(odd, empty, texts):
+    random.seed(11)
+    word = lambda: "".join(random.choices("abcdefghij", k=4))
+    own = []
+    for _ in range(12):
+        base = [word() for _ in range(random.randint(3, 120))]
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(random.randint(0, 4)):
+                copy[random.randrange(len(copy))] = word()
+            own.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in own]
+    label = list(range(len(own)))
+    for i in range(len(own)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_duplicates(texts(*own)).collect()}
+    assert got == dict(enumerate(label)) and len(set(label)) < len(own)
+    told = [(r["doc_id"], r["class_id"]) for r in fingerprints.near_duplicates(odd).collect()]
+    assert len(told) == odd.count() and dict(told)[7] == 6 and dict(told)[1] == 0
+    assert fingerprints.near_duplicates(empty).collect() == []
+
+
 def slow_repeats(rows: list[tuple[int, str]]) -> dict[int, tuple]:
     seen: dict[bytes, int] = {}
     for i, t in rows:
