@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, fingerprints, langid, mixing, packing, secrets, simhash, suffixes, toxicity, vectors
-from .common import cut, n_words, remainder, table
+from .common import cut, documents, n_words, remainder, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return secrets.find_secrets(documents(spark, sf_dir))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,28 +26,28 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), n_words(F.col("text")))
+    mixed = mixing.mix(documents(spark, sf_dir), n_words(F.col("text")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 5) != 0)
     found = toxicity.score(docs, toxicity.learn(docs, labels))
     return found.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.shown(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op6_minhash_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint(documents(spark, sf_dir))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     parser = langid.learn(docs.where(remainder(F.col("doc_id"), 3) != 1))
     held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
     return langid.identify(docs.select("doc_id", held_out, "text"), parser).drop("text")
@@ -58,11 +58,11 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeats(table(spark, sf_dir, "documents"))
+    return suffixes.repeats(documents(spark, sf_dir))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), n_words(F.col("text")))
+    return packing.pack(documents(spark, sf_dir), n_words(F.col("text")))
 
 
 QUERIES = {
