@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shipping import spread
+
 
 @dataclass(frozen=True)
 class Position:
@@ -62,7 +64,8 @@ def _pick(values: list[str], index: Column) -> Column:
 
 def scan_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, lang, payload_id, kind, position, text, inj_start, inj_end); offsets are bytes."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("body"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"))
+    docs = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("body"))
     which, where = F.pmod("doc_id", F.lit(len(PAYLOADS))), F.pmod(F.floor(F.col("doc_id") / len(PAYLOADS)), F.lit(len(POSITIONS)))
     payload = _pick([p[2] for p in PAYLOADS], which)
     before, after = _pick([p.before for p in POSITIONS], where), _pick([p.after for p in POSITIONS], where)

@@ -100,6 +100,15 @@ def _decode64(run: bytes) -> bytes | None:
     return None
 
 
+_DIGIT_INSIDE, _RUN = re.compile("[A-Za-z][0-9]"), re.compile("[A-Za-z0-9]+")
+_LIKE_HEX, _LEET_WORD = re.compile("[0-9A-Fa-f]{7,}"), re.compile("[A-Za-z][A-Za-z0-9]*[013457][A-Za-z0-9]*[A-Za-z]")
+
+
+def shows_leet(text: str) -> bool:
+    """As leet_evidence; most texts have no letter before a digit and need no closer look."""
+    return bool(_DIGIT_INSIDE.search(text)) and any(_LEET_WORD.search(r) and not _LIKE_HEX.fullmatch(r) for r in _RUN.findall(text))
+
+
 def one_layer(text: str, depth: int) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, decoded) of one layer, in order of kinds; offsets are bytes of text."""
     raw, found = text.encode("utf-8", "surrogatepass"), []
@@ -116,7 +125,7 @@ def one_layer(text: str, depth: int) -> list[tuple[str, int, int, str]]:
         found.append(("unicode_tags", start, start + len(m[0].encode()), "".join(chr(ord(c) - 0xE0000) for c in m[0])))
     if depth <= WHOLE_DEPTH:
         turned = lambda table: raw.translate(table).decode("utf-8", "surrogatepass")
-        leet = any(not re.fullmatch("[0-9A-Fa-f]{7,}", r) and re.search("[A-Za-z][A-Za-z0-9]*[013457][A-Za-z0-9]*[A-Za-z]", r) for r in re.findall("[A-Za-z0-9]+", text))
+        leet = shows_leet(text)
         whole = [("rot13", turned(_ROT)), ("reversed", text[::-1]), ("leetspeak", turned(_LEET) if leet else text)]
         found += [(kind, 0, len(raw), out) for kind, out in whole if out != text]
     return found

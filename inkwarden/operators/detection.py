@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -30,6 +31,8 @@ LOOKALIKES = dict(
     )
 )
 
+_SUSPECT = re.compile("[" + "".join(LOOKALIKES) + "\uff01-\uff5e]")
+
 
 def concealment_runs(text: Column) -> Column:
     """Runs of concealing characters of one kind, as an array of (rule_id, start, end, n_chars)."""
@@ -60,6 +63,8 @@ def confusable_tokens(text: str) -> list[tuple[int, int, str, str]]:
     Tokens end at white space and ASCII punctuation. A token of one script never counts; the skeleton
     must be ASCII with a letter and differ from the token.
     """
+    if not _SUSPECT.search(text):
+        return []
     found, token, at, begin = [], "", 0, 0
     for c in text + " ":
         if c.isspace() or c.isascii() and not c.isalnum():

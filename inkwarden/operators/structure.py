@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .matching import looks_like_json, spans
+from .matching import ascii_lower, looks_like_json, spans
 
 REGIONS = "array<struct<start:bigint,end:bigint,context:string>>"
 #: More regions of a kind than any limit in use needs.
@@ -57,9 +57,13 @@ def fences(text: Column) -> Column:
 
 def attributive(text: Column) -> Column:
     """What follows a phrase that introduces examples; phrases may overlap each other, not themselves."""
-    size = F.octet_length(text).cast("long")
-    parts = [F.transform(spans(text, "(?i)" + m.replace(".", r"\."), MANY), lambda h: _region(h["start"], F.least(h["end"] + WINDOW, size), "attributive_marker")) for m in MARKERS]
-    return F.flatten(F.array(*parts))
+    size, low = F.octet_length(text).cast("long"), ascii_lower(text)
+
+    def reach(marker: str) -> Column:
+        hits = F.transform(spans(text, "(?i)" + marker.replace(".", r"\."), MANY), lambda h: _region(h["start"], F.least(h["end"] + WINDOW, size), "attributive_marker"))
+        return F.when(F.contains(low, F.lit(marker)), hits)
+
+    return F.flatten(F.array_compact(F.array(*(reach(m) for m in MARKERS))))
 
 
 def pair_quotes(raw: bytes, double: bool) -> list[tuple[int, int, str]]:

@@ -1,4 +1,4 @@
-"""Takes this package to the executors' Python workers."""
+"""Takes this package to the executors' Python workers, and rows to idle cores."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,3 +25,12 @@ def ship(spark: SparkSession) -> None:
             packed.write(path, Path("inkwarden") / path.relative_to(here))
     sc.addPyFile(str(target))
     sc._inkwarden_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes in fewer pieces than there are: a small file is often a single one.
+
+    Tables of any size come in more pieces and stay as they are, so nothing large is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
