@@ -82,9 +82,12 @@ _ANCHORS = "CASE doc_id % 4 WHEN 0 THEN ['prepend', 'trailing'] WHEN 1 THEN ['li
 _CARRIERS = f"carriers AS (SELECT doc_id::VARCHAR AS carrier, coalesce(text, '') AS body, source AS context, {_ANCHORS} AS anchors FROM documents WHERE source = 'src0')"
 
 
-def _carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _carriers(spark: SparkSession, sf_dir: str, everything: bool = False) -> DataFrame:
+    """Carriers of one source, as the SQL has them, or of the whole table."""
     anchors = F.expr("CASE doc_id % 4 WHEN 0 THEN array('prepend', 'trailing') WHEN 1 THEN array('list_item', 'comment', 'quoted') WHEN 2 THEN array('fenced') ELSE array('table_cell', 'block_quote', 'mid_sentence') END")
-    docs = table(spark, sf_dir, "documents").where("source = 'src0'")
+    docs = table(spark, sf_dir, "documents")
+    if not everything:
+        docs = docs.where("source = 'src0'")
     return docs.select(F.col("doc_id").cast("string").alias("carrier"), F.coalesce("text", F.lit("")).alias("body"), F.col("source").alias("context"), anchors.alias("anchors"))
 
 
@@ -100,16 +103,28 @@ def _positions(spark: SparkSession) -> DataFrame:
   body || lead_text || payload || tail_text AS text, (strlen(body) + strlen(lead_text))::BIGINT AS inj_start, (strlen(body) + strlen(lead_text) + strlen(payload))::BIGINT AS inj_end
   FROM placed JOIN positions p ON p.position = a CROSS JOIN payloads)
 SELECT id, context, position, sha256(text) AS digest, inj_start, inj_end FROM rows""")
-def generate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sampling.generate(_carriers(spark, sf_dir), _payloads(spark), _positions(spark))
+def generate_corpus(spark: SparkSession, sf_dir: str, everything: bool = False) -> DataFrame:
+    rows = sampling.generate(_carriers(spark, sf_dir, everything), _payloads(spark), _positions(spark))
     return rows.select("id", "context", "position", F.sha2("text", 256).alias("digest"), "inj_start", "inj_end")
 
 
+@query()
+def generate_corpus_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """generate_corpus over every source, null included."""
+    return generate_corpus(spark, sf_dir, everything=True)
+
+
 @query(f"WITH {S.corpus()}, {_CARRIERS} SELECT carrier, position FROM carriers, positions WHERE NOT list_contains(anchors, position)")
 def generate_skipped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.skipped(_carriers(spark, sf_dir), _positions(spark))
 
 
+@query()
+def generate_skipped_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """generate_skipped_pairs over every source, null included."""
+    return sampling.skipped(_carriers(spark, sf_dir, everything=True), _positions(spark))
+
+
 # ---- rates ----------------------------------------------------------------------------------
 
 _RESULTS = f"{SCORED}, results AS (SELECT v.*, source, lang, payload_id, position, kind, inj_start, inj_end, risk IN ('high', 'critical') AS detected FROM verdicts v JOIN corpus USING (doc_id))"
