@@ -212,6 +212,18 @@ def suppression_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.split_suppressed(_placed(spark, sf_dir), True).groupBy("quoted_by", "suppressed").agg(F.count("*").alias("n"))
 
 
+@query()
+def innermost_region_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """innermost_region at every position and with every kind of region."""
+    return _placed(spark, sf_dir, everything=True).select("doc_id", "rule_id", "start", structure.innermost(F.col("__regions"), F.col("start")).alias("quoted_by"))
+
+
+@query()
+def suppression_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """suppression_split at every position and with every kind of region."""
+    return structure.split_suppressed(_placed(spark, sf_dir, everything=True), True).groupBy("quoted_by", "suppressed").agg(F.count("*").alias("n"))
+
+
 @query()
 def quote_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = structure.split_suppressed(_placed(spark, sf_dir, everything=True), True)
@@ -222,7 +234,7 @@ def quote_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT h.doc_id, h."start", h."end", max(severity)::INT AS severity, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS evidence
 FROM hidden h JOIN found f ON f.doc_id = h.doc_id AND f."start" >= h."start" AND f."start" < h."end" GROUP BY ALL""")
 def markup_concealment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = scan_corpus(spark, sf_dir).where("position = 'comment'").withColumn("__comments", structure.comments(F.col("text")))
+    corpus = scan_corpus(spark, sf_dir).withColumn("__comments", structure.comments(F.col("text")))
     return structure.conceal_markup(matching.observations(corpus, keep=("doc_id", "__comments")))
 
 
