@@ -6,6 +6,7 @@ The payload hangs on doc_id, the position on doc_id too; both tables are small c
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,3 +75,10 @@ def scan_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", "source", "lang", _pick([p[0] for p in PAYLOADS], which).alias("payload_id"), _pick([p[1] for p in PAYLOADS], which).alias("kind"), _pick([p.id for p in POSITIONS], where).alias("position"), head.alias("head"), payload.alias("payload"), F.when(leads, F.concat(after, "body")).otherwise(after).alias("tail"))
     start = F.octet_length("head").cast("long")
     return rows.select("doc_id", "source", "lang", "payload_id", "kind", "position", F.concat("head", "payload", "tail").alias("text"), start.alias("inj_start"), (start + F.octet_length("payload")).alias("inj_end"))
+
+
+def with_payload(how: Callable[[Column], Column]) -> Column:
+    """The whole text of a scan_corpus row, its payload replaced in its place by how(payload)."""
+    part = lambda start, size: F.expr(f"substring(cast(text as binary), cast({start} as int), cast({size} as int))").cast("string")
+    head, payload, tail = part("1", "inj_start"), part("inj_start + 1", "inj_end - inj_start"), part("inj_end + 1", "octet_length(text) - inj_end")
+    return F.concat(head, how(payload), tail)

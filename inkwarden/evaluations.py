@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sqltext as S
-from .corpus import PAYLOADS, POSITIONS, scan_corpus
+from .corpus import PAYLOADS, POSITIONS, scan_corpus, with_payload
 from .functions import sanitize as shown
 from .functions import segments as segmenting
 from .operators import matching, scoring
@@ -172,11 +172,25 @@ def span_localisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 truth AS (SELECT doc_id, open, payload AS text FROM plain),\n{S.findings("truth")}
 SELECT open AS direct, count(DISTINCT doc_id)::BIGINT AS n_docs FROM found JOIN truth USING (doc_id) GROUP BY open""")
 def direct_vs_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents found as they are, and those found only in what a base64 run decodes to."""
+    """Documents found as they are, and those found only in what a base64 run decodes to; payloads alone, as the SQL has them."""
     from .operators import decoding
 
     raw = F.expr("substring(cast(encode(text, 'utf-8') as binary), cast(inj_start as int) + 1, cast(inj_end - inj_start as int))").cast("string")
     rows = scan_corpus(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, raw).otherwise(F.concat(F.lit("note "), decoding.to_base64(raw.cast("binary")), F.lit("\n"))).alias("text"))
+    return _direct_or_decoded(rows)
+
+
+@query()
+def direct_vs_decode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """direct_vs_decode over whole texts, where a frame rule also has to stand at its place."""
+    from .operators import decoding
+
+    return _direct_or_decoded(scan_corpus(spark, sf_dir).select("doc_id", with_payload(lambda p: F.when(F.col("doc_id") % 3 == 0, p).otherwise(decoding.to_base64(p.cast("binary")))).alias("text")))
+
+
+def _direct_or_decoded(rows: DataFrame) -> DataFrame:
+    from .operators import decoding
+
     direct = matching.observations(rows).select("doc_id").distinct().withColumn("direct", F.lit(True))
     nested = decoding.decoded_observations(rows, max_depth=1).where("chain = 'base64'").select("doc_id").distinct()
     return direct.unionByName(nested.join(direct, "doc_id", "left_anti").withColumn("direct", F.lit(False))).groupBy("direct").agg(F.count("*").alias("n_docs"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sqltext as S
-from .corpus import scan_corpus
+from .corpus import scan_corpus, with_payload
 from .operators import decoding, detection, exports, matching, scoring, structure
 from .shipping import ship
 
@@ -302,9 +302,8 @@ def printable_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _encoded_corpus(spark: SparkSession, sf_dir: str, how) -> DataFrame:
-    corpus = scan_corpus(spark, sf_dir)
-    payload = F.expr("substring(cast(encode(text, 'utf-8') as binary), cast(inj_start as int) + 1, cast(inj_end - inj_start as int))").cast("string")
-    return corpus.select("doc_id", "position", F.concat(F.lit("note "), how(payload), F.lit("\nend")).alias("text"))
+    """Whole texts with an encoded payload. The SQL decodes the payload alone: the same while no body has a run that reads as text."""
+    return scan_corpus(spark, sf_dir).select("doc_id", "position", with_payload(how).alias("text"))
 
 
 _PAYLOAD = "SELECT doc_id, position, payload FROM documents JOIN payloads ON doc_id % {n} = i JOIN positions ON (doc_id // {n}) % {m} = j".format(n=len(S.PAYLOADS), m=len(S.POSITIONS))
