@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import rules
@@ -21,7 +22,7 @@ USAGE, INTERNAL = 64, 70
 
 def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="inkwarden", description=__doc__)
-    p.add_argument("targets", nargs="+")
+    p.add_argument("targets", nargs="+", help="files, folders, or - for what stands on the standard input")
     p.add_argument("--source", choices=SOURCES, default="tool_response")
     p.add_argument("--threshold", choices=RISKS[1:], default="high")
     p.add_argument("--format", choices=("json", "text"), default="text")
@@ -49,22 +50,35 @@ def main(argv: list[str] | None = None) -> int:
         print(error, file=sys.stderr)
         return USAGE
     spark = SparkSession.builder.appName("inkwarden").getOrCreate()
-    read = None
-    for target in args.targets:
-        rows = files.read_paths(spark, target, policy.max_input_bytes)
-        read = rows if read is None else read.unionByName(rows)
+    paths, problems = files.plan([t for t in args.targets if t != "-"])
+    kind = "path string, bytes long, text string, problem string"
+    read = spark.createDataFrame([(p, None, None, why) for p, why in problems], kind)
+    for path in paths:
+        read = read.unionByName(files.read_paths(spark, path, policy.max_input_bytes))
+    if "-" in args.targets:
+        read = read.unionByName(files.told_apart(files.from_buffer(spark, sys.stdin.buffer.read()), policy.max_input_bytes))
     told = Scanner(ruleset, policy, resources).scan(read.where("problem IS NULL"), "path")
-    for cause in ("oversized", "not_text"):
-        gap = read.where(F.col("problem") == cause).select(F.col("path").alias("doc_id"), F.lit("inconclusive").alias("outcome"), F.lit(0).alias("score"), F.lit("none").alias("risk"), F.lit("inconclusive").alias("decision"), F.array(F.lit("max_input_bytes" if cause == "oversized" else "target_not_text")).alias("incomplete"))
-        told = told.unionByName(gap, allowMissingColumns=True)
+    gap = read.where("problem IS NOT NULL").select(F.col("path").alias("doc_id"), F.lit("inconclusive").alias("outcome"), F.lit(0).alias("score"), F.lit("none").alias("risk"), F.lit("inconclusive").alias("decision"), F.array(causes(F.col("problem"))).alias("incomplete"))
+    told = told.unionByName(gap, allowMissingColumns=True)
     empty = lambda c: F.coalesce(c, F.array().cast(told.schema[c].dataType))
-    told = told.withColumns({"reasons": empty("reasons"), "suppressed": empty("suppressed"), "reasons_truncated": F.coalesce("reasons_truncated", F.lit(False))}).orderBy("doc_id").cache()
-    print(report.as_json(told) if args.format == "json" else report.as_text(told))
+    told = told.withColumns({"reasons": empty("reasons"), "suppressed": empty("suppressed"), "reasons_truncated": F.coalesce("reasons_truncated", F.lit(False)), "ruleset": F.lit(ruleset.digest)}).orderBy("doc_id").cache()
+    try:
+        for part in report.json_parts(told) if args.format == "json" else report.text_parts(told):
+            sys.stdout.write(part if args.format == "json" else part + "\n")
+        sys.stdout.write("\n" if args.format == "json" else "")
+        sys.stdout.flush()
+    except BrokenPipeError:  # the reader has seen enough; what was found still decides the exit code
+        sys.stdout = open(os.devnull, "w", encoding="utf-8")  # noqa: SIM115
     line, code = report.run_summary(told)
     if line:
         print(line, file=sys.stderr)
     return code
 
 
+def causes(problem: Column) -> Column:
+    """What a verdict calls the problem of a target."""
+    return F.when(problem == "oversized", "max_input_bytes").when(problem == "not_text", "target_not_text").otherwise(problem)
+
+
 if __name__ == "__main__":
     sys.exit(main())

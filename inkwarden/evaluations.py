@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sqltext as S
 from .corpus import PAYLOADS, POSITIONS, scan_corpus, with_payload
 from .functions import sanitize as shown
 from .functions import segments as segmenting
-from .operators import matching, scoring
+from .operators import decoding, matching
 from .plans import metrics, outliers, sampling
-from .queries import FOUND, SCORED, query, table, verdict_score
+from .queries import FOUND, SCORED, gap_array, judged, query, table
 from .rules import BUILTIN, EXPERIMENTAL_RULES, Ruleset, layer
 
 PER_STRATUM = 5
@@ -79,16 +79,12 @@ def manifest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ANCHORS = "CASE doc_id % 4 WHEN 0 THEN ['prepend', 'trailing'] WHEN 1 THEN ['list_item', 'comment', 'quoted'] WHEN 2 THEN ['fenced'] ELSE ['table_cell', 'block_quote', 'mid_sentence'] END"
-_CARRIERS = f"carriers AS (SELECT doc_id::VARCHAR AS carrier, coalesce(text, '') AS body, source AS context, {_ANCHORS} AS anchors FROM documents WHERE source = 'src0')"
+_CARRIERS = f"carriers AS (SELECT doc_id::VARCHAR AS carrier, coalesce(text, '') AS body, source AS context, {_ANCHORS} AS anchors FROM documents)"
 
 
-def _carriers(spark: SparkSession, sf_dir: str, everything: bool = False) -> DataFrame:
-    """Carriers of one source, as the SQL has them, or of the whole table."""
+def _carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = F.expr("CASE doc_id % 4 WHEN 0 THEN array('prepend', 'trailing') WHEN 1 THEN array('list_item', 'comment', 'quoted') WHEN 2 THEN array('fenced') ELSE array('table_cell', 'block_quote', 'mid_sentence') END")
-    docs = table(spark, sf_dir, "documents")
-    if not everything:
-        docs = docs.where("source = 'src0'")
-    return docs.select(F.col("doc_id").cast("string").alias("carrier"), F.coalesce("text", F.lit("")).alias("body"), F.col("source").alias("context"), anchors.alias("anchors"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("carrier"), F.coalesce("text", F.lit("")).alias("body"), F.col("source").alias("context"), anchors.alias("anchors"))
 
 
 def _payloads(spark: SparkSession) -> DataFrame:
@@ -103,35 +99,26 @@ def _positions(spark: SparkSession) -> DataFrame:
   body || lead_text || payload || tail_text AS text, (strlen(body) + strlen(lead_text))::BIGINT AS inj_start, (strlen(body) + strlen(lead_text) + strlen(payload))::BIGINT AS inj_end
   FROM placed JOIN positions p ON p.position = a CROSS JOIN payloads)
 SELECT id, context, position, sha256(text) AS digest, inj_start, inj_end FROM rows""")
-def generate_corpus(spark: SparkSession, sf_dir: str, everything: bool = False) -> DataFrame:
-    rows = sampling.generate(_carriers(spark, sf_dir, everything), _payloads(spark), _positions(spark))
+def generate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sampling.generate(_carriers(spark, sf_dir), _payloads(spark), _positions(spark))
     return rows.select("id", "context", "position", F.sha2("text", 256).alias("digest"), "inj_start", "inj_end")
 
 
-@query()
-def generate_corpus_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """generate_corpus over every source, null included."""
-    return generate_corpus(spark, sf_dir, everything=True)
-
-
 @query(f"WITH {S.corpus()}, {_CARRIERS} SELECT carrier, position FROM carriers, positions WHERE NOT list_contains(anchors, position)")
 def generate_skipped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.skipped(_carriers(spark, sf_dir), _positions(spark))
 
 
-@query()
-def generate_skipped_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """generate_skipped_pairs over every source, null included."""
-    return sampling.skipped(_carriers(spark, sf_dir, everything=True), _positions(spark))
-
-
 # ---- rates ----------------------------------------------------------------------------------
 
 _RESULTS = f"{SCORED}, results AS (SELECT v.*, source, lang, payload_id, position, kind, inj_start, inj_end, risk IN ('high', 'critical') AS detected FROM verdicts v JOIN corpus USING (doc_id))"
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = verdict_score(spark, sf_dir).join(scan_corpus(spark, sf_dir).drop("text"), "doc_id")
+_CORPUS = ("doc_id", "source", "lang", "payload_id", "kind", "position", "inj_start", "inj_end", "n_bytes")
+
+
+def _results(spark: SparkSession, sf_dir: str, gaps: Column | None = None) -> DataFrame:
+    told = judged(spark, sf_dir, *_CORPUS, gaps=gaps)
     return told.withColumn("detected", F.col("risk").isin("high", "critical"))
 
 
@@ -163,53 +150,32 @@ def fp_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_RESULTS}, hit AS (SELECT r.doc_id, r.position, bool_or(f."start" < inj_end AND inj_start < f."end") AS on_span FROM results r JOIN found f USING (doc_id) GROUP BY ALL)
 SELECT position, count(*)::BIGINT AS n, count(*) FILTER (on_span)::BIGINT AS hits, {per_mille('count(*) FILTER (on_span)', 'count(*)')} AS permille FROM hit GROUP BY position""")
 def span_localisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.observations(scan_corpus(spark, sf_dir), keep=("doc_id", "position", "inj_start", "inj_end"))
-    on_span = F.bool_or((F.col("start") < F.col("inj_end")) & (F.col("inj_start") < F.col("end")))
-    return metrics.tally(found.groupBy("doc_id", "position").agg(on_span.alias("on_span")), "position", hit="on_span")
+    rows = scan_corpus(spark, sf_dir).select("position", "inj_start", "inj_end", matching.observation_array(F.col("text")).alias("found")).where(F.size("found") > 0)
+    on_span = F.exists("found", lambda f: (f["start"] < F.col("inj_end")) & (F.col("inj_start") < f["end"]))
+    return metrics.tally(rows.withColumn("on_span", on_span), "position", hit="on_span")
 
 
-@query(f"""WITH {S.corpus()}, plain AS (SELECT doc_id, position, CASE WHEN doc_id % 3 = 0 THEN payload ELSE 'note ' || to_base64(encode(payload)) || chr(10) END AS text, doc_id % 3 = 0 AS open, payload FROM (SELECT doc_id, position, payload FROM documents JOIN payloads ON doc_id % {len(PAYLOADS)} = i JOIN positions ON (doc_id // {len(PAYLOADS)}) % {len(POSITIONS)} = j)),
-truth AS (SELECT doc_id, open, payload AS text FROM plain),\n{S.findings("truth")}
-SELECT open AS direct, count(DISTINCT doc_id)::BIGINT AS n_docs FROM found JOIN truth USING (doc_id) GROUP BY open""")
-def direct_vs_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents found as they are, and those found only in what a base64 run decodes to; payloads alone, as the SQL has them."""
-    from .operators import decoding
+_MIXED = "CASE WHEN doc_id % 3 = 0 THEN payload ELSE to_base64(encode(payload)) END"
 
-    raw = F.expr("substring(cast(encode(text, 'utf-8') as binary), cast(inj_start as int) + 1, cast(inj_end - inj_start as int))").cast("string")
-    rows = scan_corpus(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, raw).otherwise(F.concat(F.lit("note "), decoding.to_base64(raw.cast("binary")), F.lit("\n"))).alias("text"))
-    return _direct_or_decoded(rows)
 
-
-@query()
-def direct_vs_decode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """direct_vs_decode over whole texts, where a frame rule also has to stand at its place."""
-    from .operators import decoding
-
-    return _direct_or_decoded(scan_corpus(spark, sf_dir).select("doc_id", with_payload(lambda p: F.when(F.col("doc_id") % 3 == 0, p).otherwise(decoding.to_base64(p.cast("binary")))).alias("text")))
-
-
-def _direct_or_decoded(rows: DataFrame) -> DataFrame:
-    from .operators import decoding
-
-    direct = matching.observations(rows).select("doc_id").distinct().withColumn("direct", F.lit(True))
-    nested = decoding.decoded_observations(rows, max_depth=1).where("chain = 'base64'").select("doc_id").distinct()
-    return direct.unionByName(nested.join(direct, "doc_id", "left_anti").withColumn("direct", F.lit(False))).groupBy("direct").agg(F.count("*").alias("n_docs"))
+@query(f"""WITH {S.encoded_corpus(_MIXED)}, direct AS (WITH {S.findings("e")} SELECT DISTINCT doc_id FROM found),
+coded AS (SELECT doc_id, payload AS text FROM documents JOIN payloads ON doc_id % {len(PAYLOADS)} = i WHERE doc_id % 3 <> 0), nested AS (WITH {S.findings("coded")} SELECT DISTINCT doc_id FROM found)
+SELECT true AS direct, count(*)::BIGINT AS n_docs FROM direct HAVING count(*) > 0 UNION ALL SELECT false, count(*)::BIGINT FROM nested WHERE doc_id NOT IN (SELECT doc_id FROM direct) HAVING count(*) > 0""")
+def direct_vs_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which something is found as they are, and those in which only what a base64 run decodes to gives a finding."""
+    rows = scan_corpus(spark, sf_dir).select(with_payload(lambda p: F.when(F.col("doc_id") % 3 == 0, p).otherwise(decoding.to_base64(p.cast("binary")))).alias("text"), "doc_id")
+    nested = decoding.decoded_array(F.col("text"), max_depth=1)
+    told = rows.select((F.size(matching.observation_array(F.col("text"))) > 0).alias("direct"), F.exists(nested, lambda f: f["chain"] == "base64").alias("nested"))
+    return told.where("direct OR nested").groupBy("direct").agg(F.count("*").alias("n_docs"))
 
 
 _GAPS = f"""gaps AS (SELECT doc_id, 'max_input_bytes' AS cause FROM corpus WHERE strlen(text) > 2000 UNION ALL
   SELECT DISTINCT doc_id, 'max_matches_per_rule' FROM gated WHERE len(regexp_extract_all(text, pattern)) > 1)"""
 
 
-def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = scan_corpus(spark, sf_dir)
-    big = corpus.where(F.octet_length("text") > 2000).select("doc_id", F.lit("max_input_bytes").alias("cause"))
-    many = matching.saturation(corpus, cap=1).where("saturated").select("doc_id", F.lit("max_matches_per_rule").alias("cause")).distinct()
-    return big.unionByName(many)
-
-
 @query(f"WITH {S.corpus()},\n{S.rules()},\n{S.gated()}, {_GAPS} SELECT cause, count(*)::BIGINT AS n_docs FROM gaps GROUP BY cause")
 def incomplete_by_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gaps(spark, sf_dir).groupBy("cause").agg(F.count("*").alias("n_docs"))
+    return scan_corpus(spark, sf_dir).select(F.explode(gap_array(1, 2000)).alias("cause")).groupBy("cause").agg(F.count("*").alias("n_docs"))
 
 
 @query(f"""{_RESULTS}, {_GAPS}, c AS (SELECT count(*) FILTER (kind = 'phrase' AND lang <> 'en') AS pos, count(*) FILTER (kind = 'plain' AND lang <> 'en') AS neg FROM results)
@@ -217,11 +183,9 @@ SELECT 'multilingual_positives' AS gap, pos::BIGINT AS n FROM c UNION ALL SELECT
 UNION ALL SELECT 'incomplete_rows', count(DISTINCT doc_id)::BIGINT FROM gaps UNION ALL SELECT 'missed_phrases', count(*)::BIGINT FROM results WHERE kind = 'phrase' AND NOT detected""")
 def known_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run can't say, as counts: each becomes a sentence of the report if it isn't zero."""
-    rows = _results(spark, sf_dir)
-    told = rows.agg(F.count_if(F.expr("kind = 'phrase' AND lang <> 'en'")).alias("multilingual_positives"), F.count_if(F.expr("kind = 'plain' AND lang <> 'en'")).alias("multilingual_negatives"), F.count_if(F.expr("kind = 'phrase' AND NOT detected")).alias("missed_phrases"))
-    short = _gaps(spark, sf_dir).agg(F.count_distinct("doc_id").alias("incomplete_rows"))
-    each = lambda df: df.unpivot([], df.columns, "gap", "n")
-    return each(told).unionByName(each(short))
+    conditions = {"multilingual_positives": "kind = 'phrase' AND lang <> 'en'", "multilingual_negatives": "kind = 'plain' AND lang <> 'en'", "incomplete_rows": "n_gaps > 0", "missed_phrases": "kind = 'phrase' AND NOT detected"}
+    told = _results(spark, sf_dir, gaps=gap_array(1, 2000)).agg(*(F.count_if(F.expr(c)).alias(n) for n, c in conditions.items()))
+    return told.unpivot([], told.columns, "gap", "n")
 
 
 _BASE_SQL = "CASE doc_id % 5 WHEN 0 THEN 'block' WHEN 1 THEN 'review' ELSE 'allow' END"
@@ -231,8 +195,7 @@ _PAIRS = f"{_RESULTS}, pairs AS (SELECT *, {_OWN_SQL} AS decision, {_BASE_SQL} A
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _results(spark, sf_dir).join(scan_corpus(spark, sf_dir).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes")), "doc_id")
-    rows = rows.withColumn("decision", metrics.decision_of(F.col("outcome"), F.col("detected")))
+    rows = _results(spark, sf_dir).withColumn("decision", metrics.decision_of(F.col("outcome"), F.col("detected")))
     return rows.withColumns({"base_decision": F.expr(_BASE_SQL), "label": F.expr(_LABEL_SQL), "base_incomplete": F.expr("doc_id % 13 = 0"), "incomplete": F.col("n_bytes") > 2000})
 
 
@@ -257,17 +220,12 @@ def replay_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.paired(rows.where("id % 10 <> 3"), base).groupBy("problem").agg(F.count("*").alias("n"))
 
 
-_COUNTS = {
-    "total": "true", "injections": "label = 'injection'", "benign": "label = 'benign'", "uncertain": "label = 'uncertain'", "ml_hits": "label = 'injection' AND admitted", "ml_false_positives": "label = 'benign' AND admitted",
-    "ml_misses": "label = 'injection' AND NOT coalesce(admitted, false)", "product_hits": "label = 'injection' AND decision = 'block'", "product_false_positives": "label = 'benign' AND decision = 'block'", "blocks": "decision = 'block'",
-    "reviews": "decision NOT IN ('block', 'allow')", "allows": "decision = 'allow'", "incomplete": "incomplete",
-}
 _ADMITTED = "CASE WHEN doc_id % 17 = 0 THEN NULL ELSE score >= 85 END"
 
 
 @query(f"{_PAIRS}, p AS (SELECT *, {_ADMITTED} AS admitted, CASE WHEN n_bytes < 4096 THEN 'under_4k' ELSE '4k_or_more' END AS length FROM pairs), s AS ("
        + " UNION ALL ".join(f"SELECT '{k}' AS stratum, {c} AS value, * FROM p" for k, c in (("source", "source"), ("placement", "position"), ("length", "length"), ("total", "'all'")))
-       + ") SELECT stratum, value, " + ", ".join(f"count(*) FILTER ({c})::BIGINT AS {k}" for k, c in _COUNTS.items()) + " FROM s GROUP BY ALL")
+       + ") SELECT stratum, value, " + ", ".join(f"count(*) FILTER ({c})::BIGINT AS {k}" for k, c in metrics.COUNTERS.items()) + " FROM s GROUP BY ALL")
 def boundary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir).withColumns({"admitted": F.expr(_ADMITTED), "length": F.expr("CASE WHEN n_bytes < 4096 THEN 'under_4k' ELSE '4k_or_more' END")})
     few = rows.groupBy("source", "position", "length").agg(*metrics.counts())
@@ -284,8 +242,8 @@ def latency_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def group_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The interval of the detection rate over whole sources; the groups are few, the rows stay in Spark."""
-    groups = metrics.tally(_results(spark, sf_dir), "source").orderBy("source").toPandas()
+    """The interval of the detection rate over whole sources; the rows stay in Spark, one row a source comes to the driver."""
+    groups = metrics.few_groups(metrics.tally(_results(spark, sf_dir), "source"), "source")
     low, high = metrics.bootstrap(groups, "hits", "n") or (None, None)
     return spark.createDataFrame(pd.DataFrame({"groups": [len(groups)], "low": [low], "high": [high]}), "groups long, low double, high double")
 
@@ -382,8 +340,7 @@ raw::BIGINT AS raw, CASE WHEN raw IS NULL THEN 'unavailable' WHEN raw >= 700 THE
 def ml_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in scorer gives each window a number; documents beyond the window budget have none."""
     scored = _windows(spark, sf_dir).withColumn("raw", (F.col("doc_id") * 37 + F.col("window") * 101) % 1001)
-    corpus = scan_corpus(spark, sf_dir)
-    told = scoring.verdicts(corpus, matching.observations(corpus)).select("doc_id", "n_reasons", "score", F.col("n_gaps").cast("long").alias("n_gaps"))
+    told = judged(spark, sf_dir, "doc_id").select("doc_id", "n_reasons", "score", "n_gaps")
     return outliers.ml_merge(told, outliers.document_score(scored))
 
 

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import BUILTIN, Ruleset
 from ..shipping import ship
-from .matching import FRAME, FRAME_JSON
+from .matching import Matcher, arrow_function
 
 # Least run, candidates in all, depth of whole-text decoders, bytes and share that make text.
 LEAST_RUN, CANDIDATES, WHOLE_DEPTH, LEAST_TEXT, PRINTABLE = 16, 32, 2, 8, 0.85
@@ -21,6 +20,9 @@ ROT_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 ROT_TO = "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm"
 LEET_FROM, LEET_TO = "4@31!05$7", "aaeiiosst"
 RUN_KINDS = ("base64", "hex", "unicode_tags")
+_RUN64, _RUN16, _TAGS = re.compile(rb"[A-Za-z0-9+/=_-]{16,}"), re.compile(rb"[0-9A-Fa-f]{16,}"), re.compile("[\U000e0000-\U000e007f]{2,}")
+_IN64, _IN16 = (bytes(43 if m.match(bytes([b]) * 16) else 32 for b in range(256)) for m in (_RUN64, _RUN16))
+_NOT_SHOWN = bytes(b for b in range(256) if not (0x20 <= b <= 0x7E or b in b"\n\r\t"))
 _ROT, _LEET = (bytes.maketrans(a.encode(), b.encode()) for a, b in ((ROT_FROM, ROT_TO), (LEET_FROM, LEET_TO)))
 
 
@@ -81,9 +83,14 @@ def base64_runs(text: Column) -> Column:
 
 
 def _reads(raw: bytes) -> bool:
-    good = sum(0x20 <= b <= 0x7E or b in b"\n\r\t" for b in raw)
+    good = len(raw.translate(None, _NOT_SHOWN))
     text = len(raw) >= LEAST_TEXT and good / len(raw) >= PRINTABLE and b" " in raw
-    return text or bool(re.fullmatch(rb"[A-Za-z0-9+/=_-]{16,}", raw))
+    return text or bool(_RUN64.fullmatch(raw))
+
+
+def _has_run(raw: bytes, members: bytes) -> bool:
+    """Whether LEAST_RUN neighbouring bytes are members; most texts have no such run and need no closer look."""
+    return b"+" * LEAST_RUN in raw.translate(members)
 
 
 def _decode64(run: bytes) -> bytes | None:
@@ -100,34 +107,38 @@ def _decode64(run: bytes) -> bytes | None:
     return None
 
 
-_DIGIT_INSIDE, _RUN = re.compile("[A-Za-z][0-9]"), re.compile("[A-Za-z0-9]+")
+_RUN = re.compile("[A-Za-z0-9]+")
+#: Letters as a, digits as 0.
+_SHAPES = bytes(97 if b < 128 and chr(b).isalpha() else 48 if 48 <= b < 58 else 32 for b in range(256))
 _LIKE_HEX, _LEET_WORD = re.compile("[0-9A-Fa-f]{7,}"), re.compile("[A-Za-z][A-Za-z0-9]*[013457][A-Za-z0-9]*[A-Za-z]")
 
 
 def shows_leet(text: str) -> bool:
     """As leet_evidence; most texts have no letter before a digit and need no closer look."""
-    return bool(_DIGIT_INSIDE.search(text)) and any(_LEET_WORD.search(r) and not _LIKE_HEX.fullmatch(r) for r in _RUN.findall(text))
+    return b"a0" in text.encode().translate(_SHAPES) and any(_LEET_WORD.search(r) and not _LIKE_HEX.fullmatch(r) for r in _RUN.findall(text))
+
 
+def one_layer(text: str, depth: int, last: str = "") -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, decoded) of one layer, in order of kinds; offsets are bytes of text.
 
-def one_layer(text: str, depth: int) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, decoded) of one layer, in order of kinds; offsets are bytes of text."""
-    raw, found = text.encode("utf-8", "surrogatepass"), []
-    for m in re.finditer(rb"[A-Za-z0-9+/=_-]{16,}", raw):
+    last is the kind that text came from: turning it by the same once more gives what is known.
+    """
+    raw, found = text.encode(), []
+    for m in _RUN64.finditer(raw) if _has_run(raw, _IN64) else ():
         out = _decode64(m[0])
         if out is not None and _reads(out):
             found.append(("base64", *m.span(), out.decode("utf-8", "replace")))
-    for m in re.finditer(rb"[0-9A-Fa-f]{16,}", raw):
+    for m in _RUN16.finditer(raw) if _has_run(raw, _IN16) else ():
         run = m[0][: len(m[0]) // 2 * 2]
         if _reads(out := bytes.fromhex(run.decode())):
             found.append(("hex", m.start(), m.start() + len(run), out.decode("utf-8", "replace")))
-    for m in re.finditer("[\U000e0000-\U000e007f]{2,}", text):
-        start = len(text[: m.start()].encode("utf-8", "surrogatepass"))
+    for m in _TAGS.finditer(text) if not text.isascii() else ():
+        start = len(text[: m.start()].encode())
         found.append(("unicode_tags", start, start + len(m[0].encode()), "".join(chr(ord(c) - 0xE0000) for c in m[0])))
     if depth <= WHOLE_DEPTH:
-        turned = lambda table: raw.translate(table).decode("utf-8", "surrogatepass")
-        leet = shows_leet(text)
-        whole = [("rot13", turned(_ROT)), ("reversed", text[::-1]), ("leetspeak", turned(_LEET) if leet else text)]
-        found += [(kind, 0, len(raw), out) for kind, out in whole if out != text]
+        turned = lambda table: raw.translate(table).decode()
+        whole = [("rot13", lambda: turned(_ROT)), ("reversed", lambda: text[::-1]), ("leetspeak", lambda: turned(_LEET) if shows_leet(text) else text)]
+        found += [(kind, 0, len(raw), out) for kind, turn in whole if kind != last and (out := turn()) != text]
     return found
 
 
@@ -142,7 +153,7 @@ def expand(text: str, max_depth: int = 3) -> tuple[list[dict], list[str]]:
     for depth in range(1, max_depth + 1):
         waiting, pending, full = [], False, False
         for source, origin, chain in queue:
-            for kind, start, end, out in one_layer(source, depth):
+            for kind, start, end, out in one_layer(source, depth, chain[-1] if chain else ""):
                 if len(found) + len(waiting) >= CANDIDATES:
                     full = full or kind in RUN_KINDS
                     break
@@ -165,48 +176,30 @@ def expand(text: str, max_depth: int = 3) -> tuple[list[dict], list[str]]:
     return found, gaps
 
 
-NESTED = "found array<struct<rule_id:string,rule_class:string,severity:int,start:bigint,end:bigint,candidate:int,chain:string>>, gaps array<string>"
-
-
-def firing(text: str, rules: list[tuple]) -> list[tuple]:
-    """Rules, as prepared(), that fire in a text: a literal occurs, and a match stands where the anchor allows."""
-    low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    json = bool(re.match(r"\s*[\{\[]", text)) and '":' in text
-    found = []
-    for rule, literals, pattern in rules:
-        if literals and not any(x in low for x in literals):
-            continue
-        for m in pattern.finditer(text):
-            if rule.anchor != "frame" or (FRAME_JSON_RE if json else FRAME_RE).search(text, 0, m.start()):
-                found.append(rule)
-                break
-    return found
-
-
-FRAME_RE, FRAME_JSON_RE = (re.compile(f.replace(r"\z", "$(?!\n)")) for f in (FRAME, FRAME_JSON))
+NESTED = "array<struct<rule_id:string,rule_class:string,severity:int,start:bigint,end:bigint,candidate:int,chain:string>>"
+_NESTED = pa.list_(pa.struct([("rule_id", pa.string()), ("rule_class", pa.string()), ("severity", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("candidate", pa.int32()), ("chain", pa.string())]))
 
 
-def searcher(ruleset: Ruleset = BUILTIN, max_depth: int = 3) -> Callable[[Column], Column]:
-    """A column function: what rules find in the decoded forms of a text, and the gaps of the search.
+def decoded_array(text: Column, ruleset: Ruleset = BUILTIN, max_depth: int = 3, cap: int = 16) -> Column:
+    """Each decoded candidate of a text and rule that fires in it, as an array.
 
     Decoded texts never leave Python: a text has up to 32 of them, most as long as itself. Candidates are
     gated on their own text; the span of a finding is that of the encoded region in the input.
     """
-    ready = [(r, tuple(x.lower() for x in r.literals), re.compile(r.python_pattern)) for r in ruleset.active]
+    matcher = Matcher(ruleset, cap)
 
-    def search(texts: pd.Series) -> pd.DataFrame:
-        found, gaps = [], []
+    def tell(texts: list[str]) -> list:
+        out = []
         for text in texts:
-            candidates, missing = expand(text or "", max_depth)
-            found.append([{"rule_id": r.id, "rule_class": r.rule_class, "severity": r.severity, "start": c["start"], "end": c["end"], "candidate": i, "chain": ">".join(c["chain"])} for i, c in enumerate(candidates) for r in firing(c["text"], ready)])
-            gaps.append(missing)
-        return pd.DataFrame({"found": found, "gaps": gaps})
+            candidates, _ = expand(text, max_depth)
+            fired = matcher.firing([c["text"] for c in candidates])
+            out.append([{"rule_id": r.id, "rule_class": r.rule_class, "severity": r.severity, "start": c["start"], "end": c["end"], "candidate": i, "chain": ">".join(c["chain"])} for i, (c, (rules, _)) in enumerate(zip(candidates, fired, strict=True)) for r in rules])
+        return out
 
-    return F.pandas_udf(search, NESTED)
+    return arrow_function(tell, _NESTED, NESTED)(text)
 
 
-def decoded_observations(docs: DataFrame, ruleset: Ruleset = BUILTIN, text_col: str = "text", max_depth: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def decoded_observations(docs: DataFrame, ruleset: Ruleset = BUILTIN, text_col: str = "text", max_depth: int = 3, cap: int = 16, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per decoded candidate and rule that fires in it."""
     ship(docs.sparkSession)
-    rows = docs.select(*keep, searcher(ruleset, max_depth)(F.col(text_col)).alias("d"))
-    return rows.select(*keep, F.explode("d.found").alias("f")).select(*keep, "f.*")
+    return docs.select(*keep, F.explode(decoded_array(F.col(text_col), ruleset, max_depth, cap)).alias("f")).select(*keep, "f.*")

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..rules import spelled
 from ..shipping import ship
-from .matching import spans
-from .structure import MANY
+from .matching import arrow_function, byte_offsets
 
 # The characters of each kind (tab, line feed and carriage return belong to none), severities, ids.
 CONCEALING = {
@@ -31,20 +32,31 @@ LOOKALIKES = dict(
     )
 )
 
+_RUNS = {kind: regex.compile(spelled(f"[{members}]+")) for kind, members in CONCEALING.items()}
+_CONTROLS = bytes(b for b in range(128) if _RUNS["control_characters"].match(chr(b)))
+_HIDES = regex.compile(spelled(f"[{''.join(CONCEALING.values())}]"))
 _SUSPECT = re.compile("[" + "".join(LOOKALIKES) + "\uff01-\uff5e]")
 
 
-def concealment_runs(text: Column) -> Column:
-    """Runs of concealing characters of one kind, as an array of (rule_id, start, end, n_chars)."""
-    def runs(kind: str, members: str) -> Column:
-        return F.transform(spans(text, f"[{members}]+", MANY), lambda h: F.struct(F.lit(f"concealment.{kind}").alias("rule_id"), h["start"].alias("start"), h["end"].alias("end"), F.length(h["matched"]).cast("long").alias("n_chars")))
+def concealed_runs(text: str) -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, run) of runs of concealing characters of one kind; offsets are bytes."""
+    if len(raw := text.encode()) == len(raw.translate(None, _CONTROLS)) and (text.isascii() or not _HIDES.search(text)):
+        return []
+    found = [(kind, *m.span(), m[0]) for kind, pattern in _RUNS.items() for m in pattern.finditer(text)]
+    at = byte_offsets(text, [p for _, a, b, _ in found for p in (a, b)])
+    return [(kind, at[a], at[b], run) for kind, a, b, run in found]
+
 
-    return F.flatten(F.array(*(runs(k, m) for k, m in CONCEALING.items())))
+def _concealments(texts: list[str]) -> list:
+    return [[{"rule_id": f"concealment.{kind}", "start": a, "end": b, "n_chars": len(run), "recovered": recover_tags(run) if kind == "unicode_tags" else None} for kind, a, b, run in concealed_runs(t)] for t in texts]
 
 
 def concealments(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, rule_id, start, end, n_chars), one row per run."""
-    return docs.select("doc_id", F.explode(concealment_runs(F.col(text_col))).alias("r")).select("doc_id", "r.*")
+    """(doc_id, rule_id, start, end, n_chars, recovered), one row per run; recovered is what tag characters spell."""
+    ship(docs.sparkSession)
+    kind = pa.list_(pa.struct([("rule_id", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("n_chars", pa.int64()), ("recovered", pa.string())]))
+    runs = arrow_function(_concealments, kind, "array<struct<rule_id:string,start:bigint,end:bigint,n_chars:bigint,recovered:string>>")
+    return docs.select("doc_id", F.explode(runs(F.col(text_col))).alias("r")).select("doc_id", "r.*")
 
 
 def recover_tags(run: str) -> str:
@@ -63,7 +75,7 @@ def confusable_tokens(text: str) -> list[tuple[int, int, str, str]]:
     Tokens end at white space and ASCII punctuation. A token of one script never counts; the skeleton
     must be ASCII with a letter and differ from the token.
     """
-    if not _SUSPECT.search(text):
+    if text.isascii() or not _SUSPECT.search(text):
         return []
     found, token, at, begin = [], "", 0, 0
     for c in text + " ":
@@ -83,13 +95,14 @@ def confusable_tokens(text: str) -> list[tuple[int, int, str, str]]:
     return found
 
 
-def _confusable(texts: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(("start", "end", "token", "skeleton"), x, strict=True)) for x in confusable_tokens(t or "")] for t in texts])
+def _confusable(texts: list[str]) -> list:
+    return [[dict(zip(("start", "end", "token", "skeleton"), x, strict=True)) for x in confusable_tokens(t)] for t in texts]
 
 
 def confusables(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, token, skeleton); texts without a look-alike letter never reach Python."""
     ship(docs.sparkSession)
-    found = F.pandas_udf(_confusable, "array<struct<start:bigint,end:bigint,token:string,skeleton:string>>")
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("token", pa.string()), ("skeleton", pa.string())]))
+    found = arrow_function(_confusable, kind, "array<struct<start:bigint,end:bigint,token:string,skeleton:string>>")
     suspects = docs.where(F.col(text_col).rlike("[" + "".join(LOOKALIKES) + r"\x{FF01}-\x{FF5E}]"))
     return suspects.select("doc_id", F.explode(found(F.col(text_col))).alias("c")).select("doc_id", "c.*")

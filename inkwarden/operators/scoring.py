@@ -21,6 +21,14 @@ def score(severity: Column, breadth_class: Column) -> Column:
     return F.coalesce(F.least(F.lit(100), F.max(severity) + F.least(F.lit(MOST_BREADTH), further * BREADTH)), F.lit(0)).cast("int")
 
 
+def score_of(found: Column) -> Column:
+    """score() of an array of findings in their own row; those whose breadth is false add severity only."""
+    classes = F.array_distinct(F.transform(F.filter(found, lambda f: f["breadth"]), lambda f: f["rule_class"]))
+    further = F.least(F.lit(MOST_BREADTH), F.greatest(F.size(classes) - 1, F.lit(0)) * BREADTH)
+    worst = F.array_max(F.transform(found, lambda f: f["severity"]))
+    return F.when(F.size(found) > 0, F.least(F.lit(100), worst + further)).otherwise(0).cast("int")
+
+
 def band(points: Column, bands: Bands = Bands()) -> Column:
     return F.when(points >= bands.critical, "critical").when(points >= bands.high, "high").when(points >= bands.medium, "medium").when(points >= bands.low, "low").otherwise("none")
 
@@ -39,18 +47,10 @@ def decision(result: Column, risk: Column, threshold: str = "high") -> Column:
     return F.when(result == "risk_found", F.when(rank(risk) >= RISKS.index(threshold), "at_or_above").otherwise("below")).otherwise(result)
 
 
-def verdicts(docs: DataFrame, found: DataFrame, gaps: DataFrame | None = None, bands: Bands = Bands()) -> DataFrame:
-    """(doc_id, n_reasons, n_gaps, score, risk, outcome): one row per document, clean ones included.
-
-    Documents have one row each, so findings and gaps are aggregated first and joined by id.
-    """
-    told = found.groupBy("doc_id").agg(F.count("*").alias("n_reasons"), score(F.col("severity"), F.col("rule_class")).alias("score"))
-    rows = docs.select("doc_id").join(told, "doc_id", "left")
-    if gaps is not None:
-        rows = rows.join(gaps.groupBy("doc_id").agg(F.count("*").alias("n_gaps")), "doc_id", "left")
-    else:
-        rows = rows.withColumn("n_gaps", F.lit(0).cast("long"))
-    rows = rows.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_reasons", "n_gaps", "score")))
+def in_row(rows: DataFrame, found: Column, gaps: Column | None = None, bands: Bands = Bands()) -> DataFrame:
+    """rows with n_reasons, n_gaps, score, risk and outcome; found and gaps are arrays of the row, so nothing is shuffled."""
+    rows = rows.withColumns({"__found": F.transform(found, lambda f: f.withField("breadth", F.lit(True))), "n_gaps": F.lit(0) if gaps is None else F.size(gaps)})
+    rows = rows.select("*", F.size("__found").cast("long").alias("n_reasons"), score_of(F.col("__found")).alias("score")).withColumn("n_gaps", F.col("n_gaps").cast("long")).drop("__found")
     return rows.withColumns({"risk": band(F.col("score"), bands), "outcome": outcome(F.col("n_reasons"), F.col("n_gaps"))})
 
 

@@ -6,16 +6,19 @@ is placed by filtering its row's array, so no range join and no shuffle is neede
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from bisect import bisect_right
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .matching import ascii_lower, looks_like_json, spans
+from .matching import arrow_function, shaped_like_json
 
 REGIONS = "array<struct<start:bigint,end:bigint,context:string>>"
-#: More regions of a kind than any limit in use needs.
-MANY = 1 << 20
+_REGIONS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("context", pa.string())]))
 # Phrases that introduce an example, and how many bytes they reach.
 MARKERS = ("for example", "for instance", "e.g.", "such as", "the phrase", "phrases like", "the string", "strings like", "patterns include", "attack string", "example payload", "injection example", "test case", "sample input")
 WINDOW = 200
@@ -23,85 +26,134 @@ COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 QUOTE_LINE = r"(?m)^[ \t\f\r]*>[^\n]*\n?"
 FENCE_LINE = r"(?m)^[ \t\f\r]*(?:```|~~~)[^\n]*\n?"
 LEADING = r"^[ \t\f\r]*"
+Region = tuple[int, int, str]
 
+_QUOTE_LINE, _FENCE_LINE = re.compile(rb"(?m)^[ \t\f\r]*(>)[^\n]*\n?"), re.compile(rb"(?m)^[ \t\f\r]*(```|~~~)[^\n]*\n?")
 
-def _region(start: Column, end: Column, context: str) -> Column:
-    return F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(context).alias("context"))
-
-
-def _unix(pattern: str) -> str:
-    """Lines end at a line feed only."""
-    return pattern.replace("(?m)", "(?dm)")
 
-
-def comments(text: Column) -> Column:
+def comment_regions(raw: bytes) -> list[Region]:
     """HTML comments; an open one reaches to the end."""
-    return F.transform(spans(text, COMMENT, MANY), lambda h: _region(h["start"], h["end"], "html_comment"))
-
-
-def _indent(h: Column) -> Column:
-    return F.octet_length(F.regexp_extract(h["matched"], LEADING, 0))
+    found, at = [], raw.find(b"<!--")
+    while at >= 0:
+        close = raw.find(b"-->", at + 4)
+        end = close + 3 if close >= 0 else len(raw)
+        found.append((at, end, "html_comment"))
+        at = raw.find(b"<!--", end)
+    return found
 
 
-def block_quotes(text: Column) -> Column:
+def quote_line_regions(raw: bytes) -> list[Region]:
     """Lines whose first character is >, from there to the line's end."""
-    return F.transform(spans(text, _unix(QUOTE_LINE), MANY), lambda h: _region(h["start"] + _indent(h), h["end"], "block_quote"))
+    return [(m.start(1), m.end(), "block_quote") for m in _QUOTE_LINE.finditer(raw)] if b">" in raw else []
 
 
-def fences(text: Column) -> Column:
+def fence_regions(raw: bytes) -> list[Region]:
     """Fenced blocks with both their markers; markers alternate, and an open block reaches to the end."""
-    marks = F.transform(spans(text, _unix(FENCE_LINE), MANY), lambda h: F.struct((h["start"] + _indent(h)).alias("start"), h["end"].alias("end"), h["ordinal"].alias("ordinal")))
-    opening = F.filter(marks, lambda m: m["ordinal"] % 2 == 1)
-    return F.transform(opening, lambda m: _region(m["start"], F.coalesce(F.get(F.transform(marks, lambda n: n["end"]), m["ordinal"]), F.octet_length(text).cast("long")), "fenced_code"))
+    if b"```" not in raw and b"~~~" not in raw:
+        return []
+    marks = [(m.start(1), m.end()) for m in _FENCE_LINE.finditer(raw)]
+    return [(marks[i][0], marks[i + 1][1] if i + 1 < len(marks) else len(raw), "fenced_code") for i in range(0, len(marks), 2)]
 
 
-def attributive(text: Column) -> Column:
+def attributive_regions(raw: bytes) -> list[Region]:
     """What follows a phrase that introduces examples; phrases may overlap each other, not themselves."""
-    size, low = F.octet_length(text).cast("long"), ascii_lower(text)
-
-    def reach(marker: str) -> Column:
-        hits = F.transform(spans(text, "(?i)" + marker.replace(".", r"\."), MANY), lambda h: _region(h["start"], F.least(h["end"] + WINDOW, size), "attributive_marker"))
-        return F.when(F.contains(low, F.lit(marker)), hits)
-
-    return F.flatten(F.array_compact(F.array(*(reach(m) for m in MARKERS))))
+    low, found = raw.lower(), []
+    for marker in MARKERS:
+        own = marker.encode()
+        at = low.find(own)
+        while at >= 0:
+            end = at + len(own)
+            found.append((at, min(end + WINDOW, len(raw)), "attributive_marker"))
+            at = low.find(own, end)
+    return found
 
 
-def pair_quotes(raw: bytes, double: bool) -> list[tuple[int, int, str]]:
+def pair_quotes(raw: bytes, double: bool) -> list[Region]:
     """Inline code and quoted strings, paired from left to right.
 
     A pair may hold one line break at most; an apostrophe between letters or digits opens nothing; a
     delimiter without a partner is ordinary text. double: whether " quotes here (not in JSON).
     """
-    found, at = [], 0
-    while at < len(raw):
-        mark = raw[at : at + 1]
-        if mark not in (b"`", b'"', b"'") or mark == b'"' and not double or mark == b"'" and raw[max(0, at - 1) : at].isalnum() and raw[at + 1 : at + 2].isalnum():
-            nexts = [i for i in (raw.find(q, at + 1) for q in (b"`", b'"', b"'")) if i >= 0]
-            at = min(nexts, default=len(raw))
-            continue
-        first = raw.find(b"\n", at + 1)
-        limit = raw.find(b"\n", first + 1) if first >= 0 else -1
-        close = raw.find(mark, at + 1, limit if limit >= 0 else len(raw))
-        if close < 0:
-            at += 1
-            continue
-        found.append((at, close + 1, "inline_code" if mark == b"`" else "quoted_string"))
-        at = close + 1
+    found, at, first, limit = [], 0, -1, len(raw)
+    ahead = {mark: raw.find(mark) for mark in ((b"`", b"'", b'"') if double else (b"`", b"'"))}
+    while ahead := {mark: place for mark, place in ahead.items() if place >= 0}:
+        mark = min(ahead, key=ahead.get)
+        start = ahead[mark]
+        at = start + 1
+        if mark != b"'" or not (raw[max(0, start - 1) : start].isalnum() and raw[at : at + 1].isalnum()):
+            if first < at:  # the first line break from here on is another one
+                first = raw.find(b"\n", at) % (len(raw) + 1)
+                limit = raw.find(b"\n", first + 1) % (len(raw) + 1)
+            close = raw.find(mark, at, limit)
+            if close >= 0:
+                at = close + 1
+                found.append((start, at, "inline_code" if mark == b"`" else "quoted_string"))
+        for other, place in ahead.items():
+            if place < at:
+                ahead[other] = raw.find(other, at)
     return found
 
 
-def _paired(texts: pd.Series, json: pd.Series) -> pd.Series:
-    return pd.Series([[{"start": a, "end": b, "context": c} for a, b, c in pair_quotes((t or "").encode(), not j)] for t, j in zip(texts, json, strict=True)])
+def quoting_regions(text: str) -> list[Region]:
+    """Every region that quotes, by start, end and context."""
+    raw = text.encode()
+    return sorted(fence_regions(raw) + quote_line_regions(raw) + pair_quotes(raw, not shaped_like_json(text)) + attributive_regions(raw))
+
+
+class Places:
+    """The regions of one text, to be asked about single offsets."""
+
+    def __init__(self, text: str) -> None:
+        self.quoting = quoting_regions(text)
+        self.hidden = comment_regions(text.encode())
+        self._starts, self._opens = [r[0] for r in self.quoting], [r[0] for r in self.hidden]
+
+    def innermost(self, at: int) -> str | None:
+        """The context of the region around an offset that starts last."""
+        for i in range(bisect_right(self._starts, at) - 1, -1, -1):
+            if at < self.quoting[i][1]:
+                return self.quoting[i][2]
+        return None
+
+    def around(self, start: int, end: int) -> str | None:
+        """The context of the first region that holds a whole span."""
+        return next((c for a, b, c in self.quoting if a <= start and end <= b), None)
+
+    def concealed(self, at: int) -> bool:
+        """Whether an offset lies in a comment that is not itself shown in a quoting region."""
+        i = bisect_right(self._opens, at) - 1  # comments don't overlap
+        return i >= 0 and at < self.hidden[i][1] and self.innermost(self.hidden[i][0]) is None
+
+
+def _region_function(f: Callable[[bytes], list[Region]]) -> Callable[[Column], Column]:
+    return _text_function(lambda t: f(t.encode()))
+
+
+def _text_function(f: Callable[[str], list[Region]]) -> Callable[[Column], Column]:
+    tell = lambda texts: [[{"start": a, "end": b, "context": c} for a, b, c in f(t)] for t in texts]
+    return arrow_function(tell, _REGIONS, REGIONS)
+
+
+def comments(text: Column) -> Column:
+    return _region_function(comment_regions)(text)
+
+
+def block_quotes(text: Column) -> Column:
+    return _region_function(quote_line_regions)(text)
+
+
+def fences(text: Column) -> Column:
+    return _region_function(fence_regions)(text)
+
+
+def attributive(text: Column) -> Column:
+    return _region_function(attributive_regions)(text)
 
 
 def with_regions(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with __regions (quoting) and __comments (concealing); quote pairing alone runs in Python."""
+    """docs with __regions (quoting) and __comments (concealing)."""
     ship(docs.sparkSession)
-    text = F.col(text_col)
-    paired = F.pandas_udf(_paired, REGIONS)
-    rows = docs.withColumn("__paired", paired(text, looks_like_json(text)))
-    every = F.array_sort(F.concat(fences(text), block_quotes(text), F.col("__paired"), attributive(text)))
-    return rows.withColumns({"__regions": every, "__comments": comments(text)}).drop("__paired")
+    return docs.withColumns({"__regions": _text_function(quoting_regions)(F.col(text_col)), "__comments": comments(F.col(text_col))})
 
 
 def covering(regions: Column, at: Column) -> Column:
@@ -131,13 +183,6 @@ def split_suppressed(found: DataFrame, suppress: bool) -> DataFrame:
     return rows.withColumn("suppressed", held)
 
 
-def markup_array(hidden: Column, found: Column) -> Column:
-    """For each comment of a row in which something was found: (start, end, severity, evidence)."""
-    inside = lambda c: F.filter(found, lambda f: (f["start"] >= c["start"]) & (f["start"] < c["end"]))
-    told = F.transform(hidden, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.array_max(F.transform(inside(c), lambda f: f["severity"])).alias("severity"), F.array_join(F.array_sort(F.array_distinct(F.transform(inside(c), lambda f: f["rule_id"]))), ",").alias("evidence")))
-    return F.filter(told, lambda t: t["severity"].isNotNull())
-
-
 def conceal_markup(found: DataFrame) -> DataFrame:
     """(doc_id, start, end, severity, evidence): each comment in which something was found.
 

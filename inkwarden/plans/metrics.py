@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,39 +63,55 @@ def label_checks(rows: DataFrame) -> DataFrame:
     return told.groupBy("scanner").agg(F.count_if(F.expr("label = 'benign' AND d = 'block'")).alias("benign_blocked"), F.count_if(F.expr("label = 'injection' AND d = 'allow'")).alias("injection_allowed"), F.count_if(F.expr("d = 'review'")).alias("reviews"), F.count("*").alias("labelled"))
 
 
+#: Fixed names: the counters of a boundary suite, as conditions on label, admitted, decision and incomplete.
+COUNTERS = {
+    "total": "true",
+    "injections": "label = 'injection'",
+    "benign": "label = 'benign'",
+    "uncertain": "label = 'uncertain'",
+    "ml_hits": "label = 'injection' AND admitted",
+    "ml_false_positives": "label = 'benign' AND admitted",
+    "ml_misses": "label = 'injection' AND NOT coalesce(admitted, false)",
+    "product_hits": "label = 'injection' AND decision = 'block'",
+    "product_false_positives": "label = 'benign' AND decision = 'block'",
+    "blocks": "decision = 'block'",
+    "reviews": "decision NOT IN ('block', 'allow')",
+    "allows": "decision = 'allow'",
+    "incomplete": "incomplete",
+}
+
+
 def counts() -> list[Column]:
-    """The counters of a boundary suite over label, admitted, decision and incomplete."""
-    conditions = {
-        "total": "true",
-        "injections": "label = 'injection'",
-        "benign": "label = 'benign'",
-        "uncertain": "label = 'uncertain'",
-        "ml_hits": "label = 'injection' AND admitted",
-        "ml_false_positives": "label = 'benign' AND admitted",
-        "ml_misses": "label = 'injection' AND NOT coalesce(admitted, false)",
-        "product_hits": "label = 'injection' AND decision = 'block'",
-        "product_false_positives": "label = 'benign' AND decision = 'block'",
-        "blocks": "decision = 'block'",
-        "reviews": "decision NOT IN ('block', 'allow')",
-        "allows": "decision = 'allow'",
-        "incomplete": "incomplete",
-    }
-    return [F.count_if(F.expr(c)).alias(name) for name, c in conditions.items()]
-
-
-def quantiles(rows: DataFrame, value: str, percents: list[int], *by: str) -> DataFrame:
-    """value at index (n - 1) * p // 100 of the sorted values: no interpolation.
-
-    Values are counted before they are ranked, so a group's rows don't meet in one list; the ranking
-    runs over its different values.
-    """
-    from pyspark.sql import Window
+    return [F.count_if(F.expr(c)).alias(name) for name, c in COUNTERS.items()]
 
+
+def quantiles(rows: DataFrame, value: str, percents: list[int], *by: str, parts: int = 256) -> DataFrame:
+    """(by, n, p<percent>): the value at index (n - 1) * p // 100 of the sorted values, no interpolation.
+
+    Exact, though no task ranks a whole group: approximate cuts split a group's values into about `parts` ranges,
+    the ranges are counted, and only values of the ranges that hold an index are ranked, each range by itself.
+    """
     few = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("m"))
-    order = Window.partitionBy(*by).orderBy(value)
-    ranked = few.withColumns({"upto": F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("m").over(Window.partitionBy(*by))})
+    cuts = few.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("__cuts"))
+    ranged = few.join(cuts, list(by)).withColumn("__part", F.size(F.filter(F.array_distinct("__cuts"), lambda c: c < F.col(value)))).drop("__cuts")
+    upto = Window.partitionBy(*by).orderBy("__part")
+    totals = ranged.groupBy(*by, "__part").agg(F.sum("m").alias("__m"))
+    totals = totals.withColumns({"__before": F.sum("__m").over(upto) - F.col("__m"), "n": F.sum("__m").over(Window.partitionBy(*by))})
     at = lambda p: F.floor((F.col("n") - 1) * p / 100)
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"p{p}") for p in percents))
+    holds = [(F.col("__before") <= at(p)) & (at(p) < F.col("__before") + F.col("__m")) for p in percents]
+    needed = totals.where(reduce(or_, holds)).select(*by, "__part", "__before", "n")
+    order = Window.partitionBy(*by, "__part").orderBy(value)
+    ranked = ranged.join(needed, [*by, "__part"]).withColumn("__upto", F.col("__before") + F.sum("m").over(order))
+    hit = lambda p: (F.col("__upto") > at(p)) & (F.col("__upto") - F.col("m") <= at(p))
+    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *(F.min(F.when(hit(p), F.col(value))).alias(f"p{p}") for p in percents))
+
+
+def few_groups(tallied: DataFrame, by: str, most: int = 100_000) -> pd.DataFrame:
+    """Tallies of groups in order, for bootstrap(); more than `most` groups are an error, never cut off."""
+    rows = tallied.orderBy(by).limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"over {most} groups: resample coarser ones")
+    return rows
 
 
 def bootstrap(groups: pd.DataFrame, hits: str, n: str, draws: int = 2000, state: int = 0x52A68B4D912A77EF) -> tuple[float, float] | None:

@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("double"), lambda s, x: s + x)
+    """The product of two vectors; what one of them lacks or holds as null is 0."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
-def outlier_scores(rows: DataFrame, group: str = "label", vector: str = "embedding", size: int = 64) -> DataFrame:
+def outlier_scores(rows: DataFrame, group: str = "label", vector: str = "embedding", size: int | None = None) -> DataFrame:
     """(vec_id, group, score): 1000 minus 1000 times the mean product with the group's other vectors, 0 to 2000.
 
     The sum over pairs is (v . S - v . v) / (n - 1) with the group's sum S, so no pair is ever made;
-    S is `size` partial sums a group. A lone vector scores 0.
+    S is one partial sum a component and group, as many as the longest vector has unless size is given. A lone
+    vector scores 0.
     """
+    if size is None:
+        size = rows.agg(F.max(F.size(vector))).first()[0] or 0
     v = rows.select("vec_id", group, F.col(vector).cast("array<double>").alias("v"))
     sums = v.groupBy(group).agg(F.count("*").alias("n"), F.array(*(F.sum(F.get("v", F.lit(i))) for i in range(size))).alias("s"))
     joined = v.join(sums, group)

@@ -5,32 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import decoding, detection, exports, matching, scoring, structure
+from ..operators import examine, exports, scoring
 from ..policy import Policy
 from ..rules import BUILTIN, Ruleset
 from ..shipping import ship
 from . import outliers
 
-FINDING = "array<struct<start:bigint,rule_id:string,end:bigint,rule_class:string,severity:int,matched:string,chain:string,breadth:boolean>>"
-
-
-def _finding(start: Column, end: Column, rule_id: Column, rule_class: Column, severity: Column, matched: Column, chain: Column) -> Column:
-    return F.struct(start.alias("start"), rule_id.alias("rule_id"), end.alias("end"), rule_class.alias("rule_class"), severity.alias("severity"), matched.alias("matched"), chain.alias("chain"), F.lit(True).alias("breadth"))
-
-
-def _empty(kind: str) -> Column:
-    return F.array().cast(kind)
-
-
 @dataclass(frozen=True)
 class Scanner:
     """Rules and policy; scan() is a function of DataFrames, so it runs on tables and stream batches alike.
 
-    A verdict hangs on one text, and everything about a text stays in arrays of its own row: the plan
-    reads once, has one Arrow round trip for the three state machines, and shuffles nothing. model gives
+    A verdict hangs on one text, and everything about a text stays in its own row: the plan reads once,
+    has one Arrow round trip for whatever needs the bytes, and shuffles nothing. model gives
     (doc_id, raw) for documents, raw from 0 to 1000 or null where it can't tell.
     """
 
@@ -39,35 +28,16 @@ class Scanner:
     resources: tuple[exports.Resource, ...] = ()
     model: Callable[[DataFrame], DataFrame] | None = None
 
-    def findings(self, rows: DataFrame) -> DataFrame:
+    def findings(self, rows: DataFrame, excerpt: int | None = None) -> DataFrame:
         """rows (doc_id, text) with active, hidden (suppressed) and incomplete, before the display limits.
 
-        Direct matches can be suppressed by quoting; structural and decoded ones never. A comment is reported
-        for what stands in it, suppressed matches left aside. The class filter comes last and spares what is suppressed.
+        excerpt: bytes of each excerpt, the policy's limit for display if None. Here the class filter is
+        applied, once, to what is found by any means; suppressed findings are spared.
         """
-        policy, text, none = self.policy, F.col("text"), F.lit("")
         ship(rows.sparkSession)
-        nested = decoding.searcher(self.ruleset, policy.max_decode_depth)
-        alike = F.pandas_udf(detection._confusable, "array<struct<start:bigint,end:bigint,token:string,skeleton:string>>")
-        rows = matching.prepared(structure.with_regions(rows)).withColumns({"__nested": nested(text), "__alike": alike(text)})
-        rows = rows.withColumn("__direct", matching.observation_array(text, F.col("__low"), F.col("__json"), self.ruleset, policy.max_matches_per_rule))
-        regions, comments = F.col("__regions"), F.col("__comments")
-        quoted = lambda h: (F.size(structure.covering(regions, h["start"])) > 0) & ~structure.concealed(regions, comments, h["start"])
-        held = lambda h: F.lit(policy.suppress_in_quotes) & ~h["fires_in_quotes"] & quoted(h)
-        plain = lambda h: _finding(h["start"], h["end"], h["rule_id"], h["rule_class"], h["severity"], h["matched"], none)
-        rows = rows.withColumns({"__hidden": F.transform(F.filter("__direct", held), plain), "__kept": F.transform(F.filter("__direct", lambda h: ~held(h)), plain)})
-        concealing = F.transform(detection.concealment_runs(text), lambda r: _finding(r["start"], r["end"], r["rule_id"], F.lit("concealment"), F.lit(detection.CONCEALMENT_SEVERITY), none, none))
-        lookalike = F.transform("__alike", lambda c: _finding(c["start"], c["end"], F.lit("confusable.homoglyph_token"), F.lit("confusable"), F.lit(detection.CONFUSABLE_SEVERITY), c["token"], none))
-        decoded = F.transform("__nested.found", lambda d: _finding(d["start"], d["end"], d["rule_id"], d["rule_class"], d["severity"], none, d["chain"]))
-        rows = rows.withColumn("__all", F.concat("__kept", concealing, lookalike, decoded))
-        markup = F.transform(structure.markup_array(comments, F.col("__all")), lambda m: _finding(m["start"], m["end"], F.lit("concealment.html_comment"), F.lit("concealment"), m["severity"], m["evidence"], none))
-        active = F.filter(F.concat("__all", markup), lambda f: f["rule_class"].isin(*policy.classes))
-        # More raw matches than the cap, counted before frames: only rules that found something can have them.
-        full = F.lit(False)
-        for rule in self.ruleset.active:
-            full = full | (matching.gate(F.col("__low"), rule) & (F.regexp_count(text, F.lit(matching.java_pattern(rule.pattern))) > policy.max_matches_per_rule))
-        gaps = F.concat(F.when(full, F.array(F.lit("max_matches_per_rule"))).otherwise(_empty("array<string>")), "__nested.gaps")
-        return rows.select("doc_id", F.array_sort(active).alias("active"), F.array_sort("__hidden").alias("hidden"), gaps.alias("incomplete"))
+        told = rows.select("doc_id", examine.examine(self.ruleset, self.policy, self.resources, excerpt)(F.col("text")).alias("e"))
+        admitted = F.filter("e.active", lambda f: f["rule_class"].isin(*self.policy.classes))
+        return told.select("doc_id", F.array_sort(admitted).alias("active"), F.array_sort("e.hidden").alias("hidden"), F.col("e.gaps").alias("incomplete"))
 
     def scan(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, outcome, score, risk, decision, reasons, reasons_truncated, suppressed, incomplete) of every row.
@@ -82,19 +52,12 @@ class Scanner:
         rows = rows.withColumn("text", F.when(F.col("__big"), "").otherwise(F.col("text")))
         big = rows.select(F.struct("doc_id", "__big").alias("doc_id"), "text")
         told = self.findings(big).select("doc_id.doc_id", "doc_id.__big", "active", "hidden", "incomplete")
-        if self.resources:
-            sent = exports.exports(rows.where("NOT __big"), self.resources)
-            extra = sent.groupBy("doc_id").agg(F.collect_list(_finding(F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("rule_id"), F.lit("solicitation"), F.col("severity"), F.col("verb"), F.lit(""))).alias("extra"))
-            told = told.join(extra, "doc_id", "left").withColumn("active", F.concat("active", F.coalesce("extra", _empty(FINDING)))).drop("extra")
         spent = F.least(F.size("hidden"), F.lit(policy.max_observations))
         over = F.size("hidden") + F.size("active") > policy.max_observations
-        reached = lambda c, cause: F.when(c, F.array(F.lit(cause))).otherwise(_empty("array<string>"))
+        reached = lambda c, cause: F.when(c, F.array(F.lit(cause))).otherwise(F.array().cast("array<string>"))
         told = told.withColumn("incomplete", F.array_sort(F.array_distinct(F.concat("incomplete", reached(over, "max_observations"), reached(F.col("__big"), "max_input_bytes")))))
         told = told.withColumn("active", F.slice("active", F.lit(1), policy.max_observations - spent)).withColumn("hidden", F.slice("hidden", 1, policy.max_observations))
-        classes = F.array_distinct(F.transform(F.filter("active", lambda r: r["breadth"]), lambda r: r["rule_class"]))
-        further = F.least(F.lit(scoring.MOST_BREADTH), F.greatest(F.size(classes) - 1, F.lit(0)) * scoring.BREADTH)
-        points = F.when(F.size("active") > 0, F.least(F.lit(100), F.array_max(F.transform("active", lambda r: r["severity"])) + further)).otherwise(0).cast("int")
-        told = told.withColumns({"score": points, "n_reasons": F.size("active"), "n_gaps": F.size("incomplete")})
+        told = told.withColumns({"score": scoring.score_of(F.col("active")), "n_reasons": F.size("active"), "n_gaps": F.size("incomplete")})
         if self.model:
             told = outliers.ml_merge(told, self.model(rows.where("NOT __big")), policy.ml_threshold, policy.ml_impact).drop("raw")
         told = told.withColumns({"risk": scoring.band(F.col("score"), self.ruleset.bands), "outcome": scoring.outcome(F.col("n_reasons"), F.col("n_gaps"))})

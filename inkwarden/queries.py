@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sqltext as S
@@ -81,10 +81,23 @@ def matching_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("r").cast("long").alias("n_rules"), F.array_join("r", ",").alias("rule_ids"))
 
 
+def judged(spark: SparkSession, sf_dir: str, *keep: str, gaps: Column | None = None) -> DataFrame:
+    """The verdict of every corpus text, made in its own row, with the columns to keep."""
+    corpus = scan_corpus(spark, sf_dir).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    rows = corpus.select(*keep, matching.observation_array(F.col("text")).alias("found"), (F.array() if gaps is None else gaps).cast("array<string>").alias("gaps"))
+    return scoring.in_row(rows, F.col("found"), F.col("gaps"))
+
+
+def gap_array(cap: int, most_bytes: int) -> Column:
+    """What a scan of a corpus text with these limits leaves out, as an array of causes."""
+    many = F.exists(matching.count_array(F.col("text")), lambda c: c["n_matches"] > cap)
+    causes = F.array(F.when(F.octet_length("text") > most_bytes, "max_input_bytes"), F.when(many, "max_matches_per_rule"))
+    return F.array_compact(causes)
+
+
 @query(f"{SCORED} SELECT doc_id, n_reasons, score, risk, outcome FROM verdicts")
 def verdict_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = scan_corpus(spark, sf_dir)
-    return scoring.verdicts(corpus, matching.observations(corpus)).drop("n_gaps")
+    return judged(spark, sf_dir, "doc_id").select("doc_id", "n_reasons", "score", "risk", "outcome")
 
 
 @query(f"{SCORED} SELECT risk, count(*)::BIGINT AS n_docs, min(score)::INT AS low, max(score)::INT AS high FROM verdicts GROUP BY risk")
@@ -96,11 +109,8 @@ def risk_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT position, outcome, count(*)::BIGINT AS n_docs FROM (SELECT v.doc_id, CASE WHEN n_reasons > 0 THEN 'risk_found' WHEN coalesce(n, 0) > 0 OR strlen(text) > {SMALL_INPUT} THEN 'inconclusive' ELSE 'clean' END AS outcome, position
   FROM verdicts v JOIN corpus USING (doc_id) LEFT JOIN gaps USING (doc_id)) GROUP BY ALL""")
 def outcome_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = scan_corpus(spark, sf_dir)
-    gaps = matching.saturation(corpus, cap=SMALL_CAP).where("saturated").select("doc_id")
-    gaps = gaps.unionByName(corpus.where(F.octet_length("text") > SMALL_INPUT).select("doc_id"))
-    told = scoring.verdicts(corpus, matching.observations(corpus), gaps)
-    return told.join(corpus.select("doc_id", "position"), "doc_id").groupBy("position", "outcome").agg(F.count("*").alias("n_docs"))
+    told = judged(spark, sf_dir, "position", gaps=gap_array(SMALL_CAP, SMALL_INPUT))
+    return told.groupBy("position", "outcome").agg(F.count("*").alias("n_docs"))
 
 
 @query(f"""{SCORED}, d AS (SELECT {S.DECIDED} AS decision FROM verdicts)
@@ -181,56 +191,28 @@ def attributive_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _regions(spark, sf_dir, structure.attributive)
 
 
-#: Positions whose regions SQL can tell; quote pairing is a state machine.
-_PLAIN = "('prepend', 'trailing', 'list_item', 'table_cell', 'block_quote', 'mid_sentence')"
-_CONTEXTS = f"""{FOUND}, lines AS (SELECT * FROM corpus WHERE position IN {_PLAIN}),
-{S.spans("lines", "doc_id", S.quoted(structure.QUOTE_LINE), name="quote_lines")},
-{S.spans(f"(SELECT doc_id, text, p FROM ({_MARKED.replace('FROM corpus', 'FROM lines')}))", "doc_id", "p", name="marks")},
-regions AS (SELECT doc_id, "start" + {_INDENT} AS s, "end" AS e, 'block_quote' AS context FROM quote_lines
-  UNION ALL SELECT doc_id, "start", least("end" + {structure.WINDOW}, strlen(text)), 'attributive_marker' FROM marks),
-placed AS (SELECT f.*, (SELECT arg_max(context, (s, e, context)) FROM regions r WHERE r.doc_id = f.doc_id AND s <= f."start" AND f."start" < e) AS quoted_by FROM found f JOIN lines USING (doc_id))"""
-
-
-def _placed(spark: SparkSession, sf_dir: str, everything: bool = False) -> DataFrame:
-    corpus = scan_corpus(spark, sf_dir)
-    if not everything:
-        corpus = corpus.where(F.col("position").isin("prepend", "trailing", "list_item", "table_cell", "block_quote", "mid_sentence"))
-        text = F.col("text")
-        corpus = corpus.withColumns({"__regions": F.array_sort(F.concat(structure.block_quotes(text), structure.attributive(text))), "__comments": structure.comments(text)})
-    else:
-        corpus = structure.with_regions(corpus)
-    return matching.observations(corpus, keep=("doc_id", "position", "__regions", "__comments"))
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.observations(structure.with_regions(scan_corpus(spark, sf_dir)), keep=("doc_id", "position", "__regions", "__comments"))
 
 
-@query(f'{_CONTEXTS} SELECT doc_id, rule_id, "start", quoted_by FROM placed')
+@query()
 def innermost_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding with the region around it, of any kind; quote pairing is a state machine, so no SQL tells it."""
     return _placed(spark, sf_dir).select("doc_id", "rule_id", "start", structure.innermost(F.col("__regions"), F.col("start")).alias("quoted_by"))
 
 
-@query(f"{_CONTEXTS} SELECT quoted_by, quoted_by IS NOT NULL AS suppressed, count(*)::BIGINT AS n FROM placed GROUP BY ALL")
+@query()
 def suppression_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.split_suppressed(_placed(spark, sf_dir), True).groupBy("quoted_by", "suppressed").agg(F.count("*").alias("n"))
 
 
-@query()
-def innermost_region_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """innermost_region at every position and with every kind of region."""
-    return _placed(spark, sf_dir, everything=True).select("doc_id", "rule_id", "start", structure.innermost(F.col("__regions"), F.col("start")).alias("quoted_by"))
-
-
-@query()
-def suppression_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """suppression_split at every position and with every kind of region."""
-    return structure.split_suppressed(_placed(spark, sf_dir, everything=True), True).groupBy("quoted_by", "suppressed").agg(F.count("*").alias("n"))
-
-
 @query()
 def quote_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = structure.split_suppressed(_placed(spark, sf_dir, everything=True), True)
+    found = structure.split_suppressed(_placed(spark, sf_dir), True)
     return found.groupBy("position", "quoted_by", "suppressed").agg(F.count("*").alias("n"))
 
 
-@query(f"""{FOUND}, c AS (SELECT * FROM corpus WHERE position = 'comment'),\n{S.spans("c", "doc_id", S.quoted(structure.COMMENT), name="hidden")}
+@query(f"""{FOUND}, {S.spans("corpus", "doc_id", S.quoted(structure.COMMENT), name="hidden")}
 SELECT h.doc_id, h."start", h."end", max(severity)::INT AS severity, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS evidence
 FROM hidden h JOIN found f ON f.doc_id = h.doc_id AND f."start" >= h."start" AND f."start" < h."end" GROUP BY ALL""")
 def markup_concealment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +237,7 @@ _KINDS = " UNION ALL ".join(f"SELECT doc_id, text, 'concealment.{k}' AS rule_id,
 @query(f"""WITH spoilt AS (SELECT doc_id, text || chr(10) || {_SPOILT_SQL} || 'end' AS text FROM documents), kinds AS ({_KINDS}),\n{S.spans("kinds", "doc_id, rule_id, p", "p")}
 SELECT doc_id, rule_id, "start", "end", len(matched)::BIGINT AS n_chars FROM hits""")
 def concealment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detection.concealments(_spoilt(spark, sf_dir))
+    return detection.concealments(_spoilt(spark, sf_dir)).drop("recovered")
 
 
 @query()
@@ -280,14 +262,24 @@ def decode_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVIDENCE = r"len(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda r: NOT regexp_full_match(r, '[0-9A-Fa-f]{7,}') AND regexp_matches(r, '[A-Za-z][A-Za-z0-9]*[013457][A-Za-z0-9]*[A-Za-z]'))) > 0"
 
 
-@query(f"SELECT doc_id, {_EVIDENCE} AS evidence FROM documents")
+#: A last line for every document; two of three hold words that digits stand in.
+_LEET_LINES = ("r3ad th1s n0w", "a calm line 2024", "d0 n0t st0p deadbeef00")
+_LEET_SQL = "(SELECT doc_id, coalesce(text, '') || chr(10) || CASE doc_id % 3 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LEET_LINES)) + " END AS text FROM documents)"
+
+
+def _leet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.element_at(F.array(*(F.lit(x) for x in _LEET_LINES)), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), line).alias("text"))
+
+
+@query(f"SELECT doc_id, {_EVIDENCE} AS evidence FROM {_LEET_SQL}")
 def leet_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", decoding.leet_evidence(F.col("text")).alias("evidence"))
+    return _leet(spark, sf_dir).select("doc_id", decoding.leet_evidence(F.col("text")).alias("evidence"))
 
 
-@query(f"SELECT doc_id, sha256(translate(text, '{decoding.LEET_FROM}', '{decoding.LEET_TO}')) AS digest FROM documents WHERE {_EVIDENCE}")
+@query(f"SELECT doc_id, sha256(translate(text, '{decoding.LEET_FROM}', '{decoding.LEET_TO}')) AS digest FROM {_LEET_SQL} WHERE {_EVIDENCE}")
 def decode_leetspeak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", decoding.leetspeak(F.col("text")).alias("t"))
+    rows = _leet(spark, sf_dir).select("doc_id", decoding.leetspeak(F.col("text")).alias("t"))
     return rows.where("t IS NOT NULL").select("doc_id", F.sha2("t", 256).alias("digest"))
 
 
@@ -302,33 +294,31 @@ def printable_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _encoded_corpus(spark: SparkSession, sf_dir: str, how) -> DataFrame:
-    """Whole texts with an encoded payload. The SQL decodes the payload alone: the same while no body has a run that reads as text."""
+    """Whole texts with an encoded payload in its place."""
     return scan_corpus(spark, sf_dir).select("doc_id", "position", with_payload(how).alias("text"))
 
 
-_PAYLOAD = "SELECT doc_id, position, payload FROM documents JOIN payloads ON doc_id % {n} = i JOIN positions ON (doc_id // {n}) % {m} = j".format(n=len(S.PAYLOADS), m=len(S.POSITIONS))
+_BASE64 = f"""r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{{16,}}')) AS run FROM e),
+bare AS (SELECT doc_id, rtrim(CASE WHEN contains(run, '+') OR contains(run, '/') THEN run ELSE translate(run, '-_', '+/') END, '=') AS b FROM r),
+bytes AS (SELECT doc_id, b, TRY(from_base64(b || repeat('=', (4 - len(b) % 4) % 4))) AS raw FROM bare WHERE len(b) % 4 <> 1 AND NOT regexp_matches(b, '[=_-]')),
+d AS (SELECT doc_id, TRY(decode(raw)) AS decoded FROM bytes WHERE rtrim(to_base64(raw), '=') = b), told AS (SELECT doc_id, decoded FROM d WHERE {_READS.format(t="decoded")})"""
 
 
-@query(f"""WITH {S.corpus()}, e AS (SELECT doc_id, 'note ' || to_base64(encode(payload)) || chr(10) || 'end' AS text FROM ({_PAYLOAD})),
-r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{{16,}}')) AS run FROM e), d AS (SELECT doc_id, decode(from_base64(run)) AS decoded FROM r WHERE len(run) % 4 = 0)
-SELECT doc_id, decoded FROM d WHERE {_READS.format(t="decoded")}""")
+@query(f"""WITH {S.encoded_corpus("to_base64(encode(payload))")}, {_BASE64} SELECT doc_id, decoded FROM told""")
 def decode_base64_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _encoded_corpus(spark, sf_dir, lambda p: decoding.to_base64(p.cast("binary")))
     return rows.select("doc_id", F.explode(decoding.base64_runs(F.col("text"))).alias("decoded"))
 
 
-@query(f"""WITH {S.corpus()}, e AS (SELECT doc_id, 'note ' || lower(hex(encode(payload))) || '0' || chr(10) || 'end' AS text FROM ({_PAYLOAD})),
-r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9A-Fa-f]{{16,}}')) AS run FROM e), d AS (SELECT doc_id, decode(unhex(left(run, (len(run) - len(run) % 2)::INT))) AS decoded FROM r)
+@query(f"""WITH {S.encoded_corpus("lower(hex(encode(payload))) || '0'")},
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9A-Fa-f]{{16,}}')) AS run FROM e), d AS (SELECT doc_id, TRY(decode(unhex(left(run, (len(run) - len(run) % 2)::INT)))) AS decoded FROM r)
 SELECT doc_id, decoded FROM d WHERE {_READS.format(t="decoded")}""")
 def decode_hex_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _encoded_corpus(spark, sf_dir, lambda p: F.concat(F.lower(F.hex(p)), F.lit("0")))
     return rows.select("doc_id", F.explode(decoding.hex_runs(F.col("text"))).alias("decoded"))
 
 
-_ONE_LINE = f"""WITH {S.corpus()}, plain AS (SELECT doc_id, payload AS text FROM ({_PAYLOAD})),\n{S.findings("plain")}"""
-
-
-@query(f"""{_ONE_LINE} SELECT doc_id, rule_id FROM found GROUP BY ALL""")
+@query(f"""WITH {S.encoded_corpus("rtrim(to_base64(encode(payload)), '=')")}, {_BASE64}, plain AS (SELECT doc_id, decoded AS text FROM told),\n{S.findings("plain")} SELECT doc_id, rule_id FROM found GROUP BY ALL""")
 def decoded_rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that fire in what a base64 run decodes to, nested forms left aside."""
     rows = _encoded_corpus(spark, sf_dir, lambda p: F.rtrim(decoding.to_base64(p.cast("binary")), F.lit("=")))

@@ -23,6 +23,12 @@ class RulesetError(ValueError):
     """A rule set that can't be used; it names the file and the rule."""
 
 
+def spelled(pattern: str) -> str:
+    """A pattern with Python's spelling of code points and of the end of a text."""
+    points = re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", pattern)
+    return re.sub(r"(?<!\\)((?:\\\\)*)\\z", r"\1\\Z", points)
+
+
 @dataclass(frozen=True)
 class Rule:
     id: str
@@ -37,8 +43,8 @@ class Rule:
 
     @property
     def python_pattern(self) -> str:
-        """The pattern in Python's spelling of code points."""
-        return re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", self.pattern)
+        """The pattern in Python's spelling of code points and of the end of a text."""
+        return spelled(self.pattern)
 
 
 @dataclass(frozen=True)

@@ -27,10 +27,17 @@ def ship(spark: SparkSession) -> None:
     sc._inkwarden_shipped = True
 
 
+#: A table of at most so many bytes may be dealt out anew; larger ones never are.
+SMALL = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, if it comes in fewer pieces than there are: a small file is often a single one.
+    """df over all cores, if it is a small table in fewer files than there are cores.
 
-    Tables of any size come in more pieces and stay as they are, so nothing large is shuffled.
+    A small file is often a single row group, which one task reads whatever the size of its splits. What
+    this shuffles is bounded by SMALL, by Spark's own estimate of the plan; a table beyond it stays as it is read.
     """
+    if df.isStreaming or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)

@@ -29,10 +29,39 @@ def read_paths(spark: SparkSession, root: str, most_bytes: int, glob: str | None
     rows = reader.load(root)
     sizes = rows.select("path", F.col("length").alias("bytes"))
     content = rows.where(F.col("length") <= most_bytes).select("path", "content")
-    bad = ~F.is_valid_utf8(F.col("content").cast("string")) | F.contains(F.col("content").cast("string"), F.lit("\0"))
-    content = content.select("path", bad.alias("bad"), F.when(~bad, F.col("content").cast("string")).alias("text"))
-    problem = F.when(F.col("bytes") > most_bytes, "oversized").when(F.col("bad"), "not_text")
-    return sizes.join(content, "path", "left").select("path", "bytes", "text", problem.alias("problem"))
+    return _named(sizes.join(content, "path", "left"), most_bytes)
+
+
+def told_apart(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """(path, bytes, text, problem) of (path, content)."""
+    return _named(rows.withColumn("bytes", F.octet_length("content").cast("long")), most_bytes)
+
+
+def _named(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """Which contents are texts; an oversized one isn't looked at."""
+    text = F.col("content").cast("string")
+    bad = ~F.is_valid_utf8(text) | F.contains(text, F.lit("\0"))
+    problem = F.when(F.col("bytes") > most_bytes, "oversized").when(bad, "not_text")
+    return rows.select("path", "bytes", F.when(problem.isNull(), text).alias("text"), problem.alias("problem"))
+
+
+def plan(targets: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
+    """(readable targets, (path, problem) of what a walk of local ones meets but can't follow or open).
+
+    A target that isn't there is unreadable; a linked folder below a target is reported, not followed. Paths with
+    a scheme are left to Spark.
+    """
+    found, problems = [], []
+    for target in targets:
+        if "://" in target:
+            found.append(target)
+        elif not os.path.exists(target) or not os.access(target, os.R_OK):
+            problems.append((target, "unreadable_target"))
+        else:
+            found.append(target)
+            problems += [(p, "link_not_followed") for p in not_traversed(target)]
+            problems += [(p, "unreadable_target") for p in _closed(target)]
+    return found, problems
 
 
 def not_traversed(root: str) -> list[str]:
@@ -43,6 +72,11 @@ def not_traversed(root: str) -> list[str]:
     return sorted(found)
 
 
+def _closed(root: str) -> list[str]:
+    """Files and folders below a local root that may not be read."""
+    return sorted(p for folder, names, files in os.walk(root) for n in (*names, *files) if not os.access(p := os.path.join(folder, n), os.R_OK) and not os.path.islink(p))
+
+
 def unread(planned: DataFrame, read: DataFrame) -> DataFrame:
     """(path, problem) of planned paths that gave no row."""
     return planned.join(read.select("path"), "path", "left_anti").select("path", F.lit("unreadable_target").alias("problem"))
@@ -59,9 +93,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_counted(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and one row with the number of broken ones."""
+    """Good rows, and one row with the number of broken ones; blank lines are neither."""
     kind = T._parse_datatype_string(schema).add("_broken", "string")
-    rows = spark.read.schema(kind).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r")).select("r.*")
     return rows.where("_broken IS NULL").drop("_broken"), rows.agg(F.count("_broken").alias("n_broken"))
 
 
@@ -100,7 +135,7 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([{n: r.get(n) for n in names} for t in batch["value"] for r in json_records(t)], columns=names)
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(parse, schema)
+    return spark.read.text(path, wholetext=True).mapInPandas(parse, schema)
 
 
 def verify_assets(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:

@@ -27,6 +27,13 @@ corpus AS (SELECT doc_id, source, lang, payload_id, kind, position,
   FROM documents JOIN payloads ON doc_id % {len(PAYLOADS)} = i JOIN positions ON (doc_id // {len(PAYLOADS)}) % {len(POSITIONS)} = j)"""
 
 
+def encoded_corpus(payload: str) -> str:
+    """corpus, and e(doc_id, position, text): the same texts with an expression of the payload in its place."""
+    return f"""{corpus()},
+e AS (SELECT doc_id, position, CASE WHEN leads THEN lead_text || {payload} || tail_text || coalesce(text, '') ELSE coalesce(text, '') || lead_text || {payload} || tail_text END AS text
+  FROM documents JOIN payloads ON doc_id % {len(PAYLOADS)} = i JOIN positions ON (doc_id // {len(PAYLOADS)}) % {len(POSITIONS)} = j)"""
+
+
 def rules(ruleset: Ruleset = BUILTIN) -> str:
     rows = ", ".join(f"({quoted(r.id)}, {quoted(r.rule_class)}, {r.severity}, {quoted(r.anchor)}, [{', '.join(quoted(x.lower()) for x in r.literals)}], {quoted(r.pattern)})" for r in ruleset.active)
     return f"rules(rule_id, rule_class, severity, anchor, literals, pattern) AS (VALUES {rows})"
