@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -85,25 +82,28 @@ def counts() -> list[Column]:
     return [F.count_if(F.expr(c)).alias(name) for name, c in COUNTERS.items()]
 
 
-def quantiles(rows: DataFrame, value: str, percents: list[int], *by: str, parts: int = 256) -> DataFrame:
+def quantiles(rows: DataFrame, value: str, percents: list[int], *by: str, accuracy: int = 10_000) -> DataFrame:
     """(by, n, p<percent>): the value at index (n - 1) * p // 100 of the sorted values, no interpolation.
 
-    Exact, though no task ranks a whole group: approximate cuts split a group's values into about `parts` ranges,
-    the ranges are counted, and only values of the ranges that hold an index are ranked, each range by itself.
+    Exact, though no task ranks a whole group: approximate percentiles, whose error in rank is bounded by
+    n / accuracy, bracket each index; what lies below a bracket is counted, and only what is in it is ranked.
+    A group of no more than `accuracy` rows is ranked whole.
     """
-    few = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("m"))
-    cuts = few.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("__cuts"))
-    ranged = few.join(cuts, list(by)).withColumn("__part", F.size(F.filter(F.array_distinct("__cuts"), lambda c: c < F.col(value)))).drop("__cuts")
-    upto = Window.partitionBy(*by).orderBy("__part")
-    totals = ranged.groupBy(*by, "__part").agg(F.sum("m").alias("__m"))
-    totals = totals.withColumns({"__before": F.sum("__m").over(upto) - F.col("__m"), "n": F.sum("__m").over(Window.partitionBy(*by))})
-    at = lambda p: F.floor((F.col("n") - 1) * p / 100)
-    holds = [(F.col("__before") <= at(p)) & (at(p) < F.col("__before") + F.col("__m")) for p in percents]
-    needed = totals.where(reduce(or_, holds)).select(*by, "__part", "__before", "n")
-    order = Window.partitionBy(*by, "__part").orderBy(value)
-    ranked = ranged.join(needed, [*by, "__part"]).withColumn("__upto", F.col("__before") + F.sum("m").over(order))
-    hit = lambda p: (F.col("__upto") > at(p)) & (F.col("__upto") - F.col("m") <= at(p))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *(F.min(F.when(hit(p), F.col(value))).alias(f"p{p}") for p in percents))
+    known = rows.where(F.col(value).isNotNull())
+    shares = [min(1.0, max(0.0, p / 100 + side * 4 / accuracy)) for p in percents for side in (-1, 1)]
+    edges = known.groupBy(*by).agg(F.percentile_approx(value, shares, accuracy).alias("__e"), F.count("*").alias("n"))
+    few = known.groupBy(*by, value).agg(F.count("*").alias("m")).join(edges, list(by))
+    edge = lambda k: F.when(F.col("n") > accuracy, F.get("__e", F.lit(k)))
+    below = few.groupBy(*by).agg(F.max("n").alias("n"), *(F.sum(F.when(F.col(value) < edge(2 * k), F.col("m")).otherwise(0)).alias(f"__b{k}") for k in range(len(percents))))
+    bracket = F.array_compact(F.array(*(F.when((F.col("n") <= accuracy) | F.col(value).between(edge(2 * k), edge(2 * k + 1)), k) for k in range(len(percents)))))
+    order = Window.partitionBy(*by, "k").orderBy(value)
+    ranked = few.select(*by, value, "m", F.explode(bracket).alias("k")).withColumn("__upto", F.sum("m").over(order)).join(below, list(by))
+
+    def at(k: int) -> Column:
+        index, upto = F.floor((F.col("n") - 1) * percents[k] / 100), F.col(f"__b{k}") + F.col("__upto")
+        return F.min(F.when((F.col("k") == k) & (upto > index) & (upto - F.col("m") <= index), F.col(value))).alias(f"p{percents[k]}")
+
+    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *(at(k) for k in range(len(percents))))
 
 
 def few_groups(tallied: DataFrame, by: str, most: int = 100_000) -> pd.DataFrame:
