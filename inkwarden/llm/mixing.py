@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, unused
 
 #: Weights of the sources in order of code point, repeating; the most a source is repeated.
 WEIGHTS = (1, 2, 3)
@@ -62,14 +62,10 @@ def mix_rows(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col:
     The rates hang on the source alone, so the documents meet the small table of sources
     and are not joined with each other.
     """
-    taken = {c: f"__{c}" for c in ("__source", "source_size", "target", "__rate")}
+    own, rated, copy = (unused(c, docs.columns) for c in ("__source", "__rate", "__copy"))
     goals = targets(docs.select(F.col(source_col).alias("source"), size.alias("size")), **goal)
-    goals = goals.select(F.col("source").alias(taken["__source"]), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(taken["__rate"]))
-    rate = F.col(taken["__rate"])
+    goals = goals.select(F.col("source").alias(own), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rated))
+    rate = F.col(rated)
     copies = F.floor(rate).cast("int") + (coin(F.col(id_col), seed) < rate - F.floor(rate)).cast("int")
-    out = docs.join(goals, F.col(source_col).eqNullSafe(F.col(taken["__source"])))
-    return out.where(copies > 0).select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies)).alias("__copy")).drop("__copy")
-
-
-def words(text: str = "text") -> Column:
-    return n_words(F.col(text))
+    out = docs.join(goals, F.col(source_col).eqNullSafe(F.col(own)))
+    return out.where(copies > 0).select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies)).alias(copy)).drop(copy)

@@ -11,12 +11,12 @@ is, and a text's segments add up to one number that a logistic turns into a prob
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,8 @@ MOST_UNITS = 50_000
 #: Segments below this many nats of surprise don't count.
 SIGNIFICANT = 0.0
 _LONGEST_FIRST = tuple(sorted(PREFIXES, reverse=True))
-_WORD = re.compile(r"[^\W\d_]+")
+#: Words are runs of letters of the lower-cased text, in learning (by the JVM) and in scoring alike.
+_WORD = regex.compile(r"\p{L}+")
 
 
 @dataclass
@@ -75,13 +76,19 @@ def segments(positions: list[int], weights: list[float], default: float) -> list
     return [(r - lo, a, b) for lo, r, a, b in stack]
 
 
+def lower(text: str) -> str:
+    """Lower case letter by letter, so that offsets stay; a letter that would become several stays as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def weigh(text: str, model: Model) -> tuple[list[int], list[float], int]:
     """Positions and scores of the tokens that the model knows, and the number of tokens."""
-    words = _WORD.findall(text.lower())
+    words = _WORD.findall(lower(text))
     known = model.weights
     stems = model.stems if hasattr(model, "stems") else None
     if stems is None:
-        stems = model.stems = {u[: min(PREFIXES)] for u in known}
+        stems = model.stems = {u.removesuffix("$")[: min(PREFIXES)] for u in known}
     low = min(PREFIXES)
     positions, weights = [], []
     for i, word in enumerate(words):
@@ -111,20 +118,21 @@ def passages(text: str, model: Model) -> list[tuple[int, int, float]]:
     positions, weights, n = weigh(text, model)
     if not positions:
         return []
-    places = [m.span() for m in _WORD.finditer(text.lower())] if len(text.lower()) == len(text) else [m.span() for m in _WORD.finditer(text)]
+    places = [m.span() for m in _WORD.finditer(lower(text))]
     least = model.offset + math.log(n)
     found = ((a, b, model.rate * s - least) for s, a, b in segments(positions, weights, model.default))
     return [(places[a][0], places[min(b, len(places) - 1)][1], x) for a, b, x in found if x > SIGNIFICANT]
 
 
 def probability(nats: float, model: Model) -> float:
+    """The logistic of a text's surprise."""
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.intercept + model.slope * math.log1p(nats)))))
 
 
 def _units(word: Column) -> Column:
     """The units of a word: its prefixes, and itself with a closing mark."""
     cuts = [F.when(F.length(word) >= n, F.substring(word, 1, n)) for n in PREFIXES]
-    return F.array_compact(F.array(*cuts, F.when(F.length(word) >= min(PREFIXES), F.concat(word, F.lit("$")))))
+    return F.array_compact(F.array(*cuts, F.concat(word, F.lit("$"))))
 
 
 def _odds(counts: list[tuple[str, float, float]], n1: float, n0: float) -> tuple[dict[str, float], float, list[tuple[float, float]]]:
@@ -171,9 +179,11 @@ def _law(model: Model, shares: list[tuple[float, float]]) -> None:
         middle = (low + high) / 2
         low, high = (middle, high) if excess(middle) < 0 else (low, middle)
     model.rate = max(low, 1e-3)
-    # Karlin and Altschul's K for scores whose positive steps are rare: about their rate of arrival.
-    arrivals = sum(p for p, _ in shares)
-    model.offset = math.log(max(arrivals * (1 - math.exp(-model.rate * min(s for _, s in shares))), 1e-9))
+    # Karlin and Altschul's K, here for scores whose positive steps are rare. A segment begins at a step up, and
+    # that one is the first of its climb with probability 1 - exp(-lambda * step): what drifts down as slowly as
+    # `default` is rarely met again. So the expected number of segments of at least x in n tokens is
+    # n * sum(p * (1 - exp(-lambda * s))) * exp(-lambda * x), the sum over units of share p and score s.
+    model.offset = math.log(max(sum(p * (1 - math.exp(-model.rate * s)) for p, s in shares), 1e-9))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -191,6 +201,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(slope)), float(intercept)
 
 
+def _words(text: Column) -> Column:
+    """The different words of a text, as lower() and _WORD have them."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([sorted(set(_WORD.findall(lower(t or "")))) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<string>")(text)
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled rows, those of least hashed id; null labels and texts teach nothing.
 
@@ -209,14 +229,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = rows.select("y", half.alias("half"), F.col(text_col).alias("text")).cache()
     sides = [(y, h) for y in (1, 0) for h in (0, 1)]
     tally = lambda n: [F.sum(F.when((F.col("y") == y) & (F.col("half") == h), n).otherwise(0)).cast("double").alias(f"y{y}{h}") for y, h in sides]
-    words = held.select("y", "half", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
+    words = held.select("y", "half", F.explode(_words(F.col("text"))).alias("word"))
     words = words.groupBy("word").agg(*tally(F.lit(1)))
     one, zero = F.col("y10") + F.col("y11"), F.col("y00") + F.col("y01")
     counts = words.select(F.explode(_units(F.col("word"))).alias("unit"), *(f"y{y}{h}" for y, h in sides)).groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("y10", "y11", "y00", "y01")))
     sizes = words.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("y10", "y11", "y00", "y01"))).first()
     ones, zeros = sizes["y10"] + sizes["y11"], sizes["y00"] + sizes["y01"]
     # Only what has a clearly higher share among the ones can reach LEAST_Z.
-    counts = counts.where((one >= LEAST_COUNT) & (one * F.lit(zeros) > zero * F.lit(1.2 * ones))).collect()
+    # The driver gets no more than the units a model may hold, those of most weight among the ones first.
+    counts = counts.where((one >= LEAST_COUNT) & (one * F.lit(zeros) > zero * F.lit(1.2 * ones)))
+    counts = counts.orderBy((one / (zero + 1)).desc(), one.desc(), "unit").limit(4 * MOST_UNITS).collect()
     model = Model()
     if not ones or not zeros:
         model.intercept = 10.0 if ones else -10.0
