@@ -21,6 +21,7 @@ STEP, REACH = 64.0, 16384.0
 
 
 def cost(capacity: int) -> float:
+    """What a bin of so many tokens costs: its tokens, a step's fixed part, and attention."""
     return capacity + STEP + capacity * capacity / REACH
 
 
@@ -68,25 +69,28 @@ def pack(docs: DataFrame, size: Column, id_col: str = "doc_id", capacities: tupl
 
     A document longer than the largest permitted length is cut into pieces of that length and
     one rest; others are one piece. A document without tokens is one piece of length 0.
-    Documents are dealt by a hash of id and size to shards of about `shard` documents, and each
-    shard is packed alone, so memory doesn't grow with the table; repeated rows are packed as often
-    as they come. An empty table gives no rows. bin_id is shard * 2**32 + number of the bin.
+    Documents are dealt by a hash of id, size and number among their equals to shards of about `shard`
+    documents, and each shard is packed alone, so memory doesn't grow with the table and the same rows give the
+    same bins however the input is split. Rows of one id and size can't be told apart and are packed as often as
+    they come. An empty table gives no rows. bin_id is shard * 2**32 + number of the bin.
     """
     ship(docs.sparkSession)
     most = max(capacities)
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
-    # A row's own number spreads repeated rows; the checkpoint makes it final.
-    own = cut(own.withColumn("row", F.monotonically_increasing_id()))
-    shards = max(1, -(-own.count() // shard))
+    own = cut(own.groupBy("doc_id", "size").agg(F.count("*").alias("many")))
+    shards = max(1, -(-(own.agg(F.sum("many")).first()[0] or 0) // shard))
     many = F.greatest(F.lit(1), F.ceil(F.col("size") / most)).cast("int")
-    parts = own.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", F.col("row")), F.lit(shards)))
+    # A row that is repeated without end becomes runs of a thousand first, so no array is long.
+    runs = own.withColumn("run", F.explode(F.sequence(F.lit(0), (F.col("many") - 1).cast("long"), F.lit(1000))))
+    rows = runs.withColumn("row", F.explode(F.sequence(F.col("run"), F.least(F.col("many") - 1, F.col("run") + 999))))
+    parts = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "row"), F.lit(shards)))
     parts = parts.withColumn("piece", F.explode(F.sequence(F.lit(0), many - 1)))
     parts = parts.withColumn("start", F.col("piece").cast("long") * most)
     parts = parts.withColumn("length", F.least(F.lit(most), F.col("size") - F.col("start")))
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)).sort_by([("doc_id", "ascending"), ("row", "ascending"), ("piece", "ascending")])
+        rows = pa.Table.from_batches(list(batches)).sort_by([("doc_id", "ascending"), ("size", "ascending"), ("row", "ascending"), ("piece", "ascending")])
         bins, positions, final = best_fit(rows["length"].to_numpy(), capacities)
         number = rows["shard"].to_numpy() * 2**32 + bins
         out = [*(rows[c] for c in ("doc_id", "piece", "start", "length")), pa.array(number), pa.array(positions), pa.array(final[bins])]
