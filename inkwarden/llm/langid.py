@@ -12,18 +12,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import CHUNK, pieces, text_buffer
+from .common import CHUNK, pieces, text_buffer, unused
 
-#: Bytes of labelled text that each language's automaton holds, and documents they are taken from at most.
-SAMPLE_BYTES, SAMPLE_DOCS = 20_000, 64
+#: Bytes of labelled text that each language's automaton holds, documents they are taken from at most, and
+#: characters that one document gives: so many slices, evenly spread over its whole text.
+SAMPLE_BYTES, SAMPLE_DOCS, SHARE, SLICES = 20_000, 64, 640, 4
+#: Languages that one parser may hold: each is some megabytes that every worker keeps.
+MOST_LANGUAGES = 200
 #: Symbols that a lane of the parse holds; a phrase ends where a lane does.
 LANE = 512
-#: Phrases a symbol from which on a text is unlike every language.
-MAX_RATE = 0.8
+#: Phrases a symbol from which on a text is unlike every language, and characters below which that can't be told.
+#: On sf0.1 texts of that length reach 0.43; uniform random letters, words and base64 have 0.61 and more.
+MAX_RATE, TELLING = 0.55, 64
 UNKNOWN = "und"
 
 
@@ -56,7 +60,9 @@ class CrossParser:
             self.roots.append(base * self.width)
             self.bits.append(float(np.log2(len(codes) + 2)))
             base += len(table)
-        self.cells = np.concatenate(tables).astype(np.int32).reshape(-1) if tables else np.zeros(0, np.int32)
+        # Cells hold four times an offset; many languages, or many scripts, take more than 32 bits.
+        self.kind = np.int32 if base * self.width * 4 + 4 < 2**31 else np.int64
+        self.cells = np.concatenate(tables).astype(self.kind).reshape(-1) if tables else np.zeros(0, self.kind)
 
     def _automaton(self, codes: list[int]) -> np.ndarray:
         """Transitions of the suffix automaton, -1 where there is none."""
@@ -113,13 +119,13 @@ class CrossParser:
         length = np.minimum(LANE, at[text + 1] - start)
         order = np.argsort(-length, kind="stable")
         text, start, length = text[order], start[order], length[order]
-        roots = np.array(self.roots, np.int32)[:, None]
+        roots = np.array(self.roots, self.kind)[:, None]
         state = np.repeat(roots, len(text), axis=1)
         counts = np.zeros(state.shape, np.int32)
         active = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1 if len(length) else 1), side="right")
         for t, n in enumerate(active):
             cell = self.cells[state[:, :n] + codes[start[:n] + t]]
-            counts[:, :n] += cell & 3
+            counts[:, :n] += (cell & 3).astype(np.int32)
             state[:, :n] = cell >> 2
         total = np.zeros((len(sizes), many), np.int64)
         np.add.at(total, text, (counts + (state != roots)).T)
@@ -135,23 +141,32 @@ class CrossParser:
         return best, 1 / np.exp2(-np.minimum(lead, 60)).sum(axis=1), total[np.arange(len(best)), best] / n[:, 0]
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> CrossParser:
-    """Fit on a bounded sample: of each language the sample_docs documents of least hashed id, sample_bytes in all.
+def _slices(text: Column, share: int, slices: int) -> Column:
+    """At most `share` characters of a text: so many equal slices from its beginning to its end."""
+    width = share // slices
+    spread = [F.substring(text, (F.lit(1) + F.floor((F.length(text) - width) * (k / max(1, slices - 1)))).cast("int"), F.lit(width)) for k in range(slices)]
+    return F.when(F.length(text) <= share, text).otherwise(F.concat_ws(" ", *spread))
 
-    Rows without a language or text teach nothing. Only sample_docs * sample_bytes bytes a
-    language can reach the driver, whatever the size of the table. Languages are tried from
-    the one with the most rows, counted over all, to the one with the fewest, then by name.
+
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, share: int = SHARE, slices: int = SLICES, most_languages: int = MOST_LANGUAGES) -> CrossParser:
+    """Fit on a bounded sample: of each language the sample_docs different texts of least hash, `share` characters of each.
+
+    Rows without a language or text teach nothing; copies of a text teach once. No more than sample_docs *
+    share characters a language reach the driver, whatever the size of the table. Languages are tried from
+    the one with the most rows, counted over all, to the one with the fewest, then by name; more than
+    most_languages of them are an error.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.substring(F.col(text_col), 1, sample_bytes).alias("text"))
-    few = Window.partitionBy("lang").orderBy("h", "text")
+    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), _slices(F.col(text_col), share, slices).alias("text"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"over {most_languages} languages: normalise the labels, or raise most_languages")
+    few = Window.partitionBy("lang").orderBy("h")
+    chosen = rows.groupBy("lang", "h").agg(F.lit(1).alias("one")).withColumn("n", F.row_number().over(few)).where(F.col("n") <= sample_docs)
+    taught = rows.join(F.broadcast(chosen.select("lang", "h", "n")), ["lang", "h"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
     samples: dict[str, bytes] = {}
-    for row in sorted(rows.withColumn("n", F.row_number().over(few)).where(F.col("n") <= sample_docs).collect(), key=lambda r: (r["lang"], r["n"])):
-        have = samples.setdefault(row["lang"], b"")
-        room = sample_bytes // 8  # of each document at most, that one odd document isn't the sample
-        if len(have) < sample_bytes:
-            samples[row["lang"]] = have + row["text"].lower().encode()[:room] + b" "
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    for row in sorted(taught.collect(), key=lambda r: (r["lang"], r["n"])):
+        samples[row["lang"]] = samples.get(row["lang"], b"") + row["text"].lower().encode() + b" "
     return CrossParser({k: samples[k][:sample_bytes] for k in sorted(samples, key=lambda k: (-counts[k], k)) if samples[k].strip()})
 
 
@@ -166,12 +181,13 @@ def identify(docs: DataFrame, parser: CrossParser, text_col: str = "text", prefi
     shared = docs.sparkSession.sparkContext.broadcast(parser)
     added = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}rate"]
     docs = docs.drop(*added)
-    ready = docs.withColumn("__lower", F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(text_col)))
+    low = unused("__lower", docs.columns)
+    ready = docs.withColumn(low, F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = shared.value
-        for batch in pieces(batches, "__lower", CHUNK):
-            lower = batch.column("__lower")
+        for batch in pieces(batches, low, CHUNK):
+            lower = batch.column(low)
             known = lower.is_valid().to_numpy(zero_copy_only=False)
             if parser.languages:
                 best, score, rate = parser.judge(*text_buffer(lower))
@@ -180,13 +196,21 @@ def identify(docs: DataFrame, parser: CrossParser, text_col: str = "text", prefi
                 known = np.zeros(len(known), bool)
                 names, score, rate = np.full(len(known), UNKNOWN, object), np.zeros(len(known)), np.ones(len(known))
             new = [pa.array(np.where(known, names, UNKNOWN), pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, rate, 1.0))]
-            kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__lower"]
-            yield pa.RecordBatch.from_arrays([*kept, *new], names=[*(c for c in batch.schema.names if c != "__lower"), *added])
+            kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != low]
+            yield pa.RecordBatch.from_arrays([*kept, *new], names=[*(c for c in batch.schema.names if c != low), *added])
 
     schema = docs.schema.add(added[0], "string").add(added[1], "double").add(added[2], "double")
     return ready.mapInArrow(run, schema)
 
 
-def accepts(prefix: str = ""):
-    """Whether a document has a language: a letter at least, and phrases unlike noise."""
-    return (F.col(f"{prefix}lang_pred") != UNKNOWN) & (F.col(f"{prefix}rate") <= MAX_RATE)
+def in_some_language(docs: DataFrame, parser: CrossParser, text_col: str = "text", most: float = MAX_RATE, telling: int = TELLING) -> DataFrame:
+    """The documents that are in some language, with their own columns only.
+
+    Those without a letter go, and those of `telling` characters or more whose phrases are as short as noise's.
+    """
+    prefix = "__"
+    while {f"{prefix}{c}" for c in ("lang_pred", "score", "rate")} & {c.lower() for c in docs.columns}:
+        prefix = f"_{prefix}"
+    judged = identify(docs, parser, text_col, prefix)
+    noise = (F.col(f"{prefix}rate") > most) & (F.length(text_col) >= telling)
+    return judged.where((F.col(f"{prefix}lang_pred") != UNKNOWN) & ~noise).select(*docs.columns)
