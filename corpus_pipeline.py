@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from inkwarden.llm import langid, mixing, packing, secrets, simhash
 from inkwarden.llm.common import n_words, stored, table
 
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in some language; the rest (no letter, or noise) goes."""
-    judged = langid.identify(docs, langid.learn(docs), prefix="__")
-    return judged.where(langid.accepts("__")).select(*docs.columns)
+    return langid.in_some_language(docs, langid.learn(docs))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
