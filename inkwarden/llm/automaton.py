@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Bytes of a scan lane, roughly: lanes end after a byte that resets the automaton.
+#: Bytes of a scan lane.
 LANE = 1024
 
 
@@ -37,11 +37,18 @@ class _Nfa:
         self.move.append(None)
         return len(self.empty) - 1
 
-    def compile(self, pattern: str) -> tuple[int, int]:
+    def compile(self, pattern: str, backwards: bool = False) -> tuple[int, int]:
         tree, end = self._either(pattern, 0)
         if end != len(pattern):
             raise ValueError(f"unbalanced ) at {end} in {pattern!r}")
-        return self._build(tree)
+        return self._build(self._mirrored(tree) if backwards else tree)
+
+    def _mirrored(self, tree):
+        """The tree that matches the same strings read from their ends."""
+        if tree[0] in ("all", "either"):
+            items = [self._mirrored(t) for t in tree[1]]
+            return (tree[0], items[::-1] if tree[0] == "all" else items)
+        return tree if tree[0] == "set" else (tree[0], self._mirrored(tree[1]), *tree[2:])
 
     def _either(self, p: str, i: int):
         options, items = [], []
@@ -126,18 +133,17 @@ class Dfa:
     accepts: np.ndarray  #: state -> bit mask of the rules that end here
     start: int
     dead: int  #: the state that nothing leaves, -1 if there is none
-    resets: np.ndarray  #: bytes that lead to the start from every state
 
     @property
     def first_accept(self) -> int:
         return int(np.searchsorted(self.accepts > 0, True))
 
 
-def determinise(patterns: list[str], anchored: bool) -> Dfa:
-    """One minimal automaton for all patterns; unanchored ones may begin anywhere."""
+def determinise(patterns: list[str], anchored: bool, backwards: bool = False) -> Dfa:
+    """One minimal automaton for all patterns; unanchored ones may begin anywhere, backwards ones read from the end."""
     nfa, entries, finals = _Nfa(), [], {}
     for bit, pattern in enumerate(patterns):
-        a, b = nfa.compile(pattern)
+        a, b = nfa.compile(pattern, backwards)
         entries.append(a)
         finals[b] = finals.get(b, 0) | 1 << bit
     sets = sorted({m[0] for m in nfa.move if m}, key=sorted)
@@ -191,29 +197,26 @@ def determinise(patterns: list[str], anchored: bool) -> Dfa:
     minimal[rank], masks[rank] = rank[label[step[some]]], accepts[some]
     start = int(rank[label[0]])
     stuck = [s for s in range(count) if not masks[s] and (minimal[s] == s).all()]
-    back = (minimal == start).all(axis=0)
-    return Dfa(classes, minimal.astype(np.int32), masks, start, stuck[0] if stuck and anchored else -1, np.flatnonzero(back[classes]))
-
-
-def segments(data: np.ndarray, bounds: np.ndarray, resets: np.ndarray, lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of lanes: texts, cut after the first reset byte behind each lane's worth."""
-    is_reset = np.zeros(256, bool)
-    is_reset[resets] = True
-    at = np.flatnonzero(is_reset[data])
-    counts = np.maximum(np.diff(bounds) - 1, 0) // lane
-    which = np.repeat(np.arange(len(counts)), counts)
-    nth = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
-    wanted = bounds[which] + nth * lane
-    found = np.searchsorted(at, wanted)
-    ok = found < len(at)
-    cuts = at[found[ok]] + 1
-    cuts = cuts[cuts < bounds[which[ok] + 1]]
-    edges = np.unique(np.concatenate([bounds, cuts]))
-    return edges[:-1], edges[1:]
-
-
-def scan(dfa: Dfa, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One pass over all bytes, lanes in lockstep: (lane, rule mask) of every lane that accepts."""
+    return Dfa(classes, minimal.astype(np.int32), masks, start, stuck[0] if stuck and anchored else -1)
+
+
+def lanes_of(bounds: np.ndarray, lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of lanes, and which of them begin a text: texts, cut every so many bytes."""
+    counts = -(-np.diff(bounds) // lane)
+    first = np.repeat(bounds[:-1], counts)
+    nth = np.arange(len(first)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return first + nth * lane, nth == 0
+
+
+def scan(dfa: Dfa, data: np.ndarray, bounds: np.ndarray, lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
+    """(place, rule mask) wherever a match of some rule ends, in order; place is the byte's, the texts lie between bounds.
+
+    One pass over all bytes, lanes in lockstep, each from the start state. A lane within a text really begins in
+    the state that its left neighbour ended in, so from there it is read once more, beside the run from the start,
+    until both are in one state: a few bytes as a rule, and as far as a match reaches at most.
+    """
+    starts, leads = lanes_of(bounds, lane)
+    ends = np.append(starts[1:], bounds[-1:])
     width = dfa.step.shape[1]
     flat = (dfa.step * width).reshape(-1).astype(np.int32)
     columns = dfa.classes[data]
@@ -221,14 +224,41 @@ def scan(dfa: Dfa, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     order = np.argsort(-lengths, kind="stable")
     position, lengths = starts[order].copy(), lengths[order]
     state = np.full(len(order), dfa.start * width, np.int32)
-    hits, limit = np.zeros(len(order), np.int64), dfa.first_accept * width
+    places, masks, limit = [], [], dfa.first_accept * width
     active = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1 if len(lengths) else 1), side="right")
     for n in active:
         here = flat[state[:n] + columns[position[:n]]]
         state[:n] = here
-        position[:n] += 1
         if int(here.max()) >= limit:
             at = np.flatnonzero(here >= limit)
-            hits[at] |= dfa.accepts[here[at] // width]
-    at = np.flatnonzero(hits)
-    return order[at], hits[at]
+            places.append(position[at])
+            masks.append(dfa.accepts[here[at] // width])
+        position[:n] += 1
+    last = np.empty(len(order), np.int64)
+    last[order] = state // width
+    more = _carried(dfa, columns, starts, ends, leads, last)
+    places, masks = np.concatenate([*places, more[0]]).astype(np.int64), np.concatenate([*masks, more[1]]).astype(np.int64)
+    by = np.argsort(places, kind="stable")
+    return places[by], masks[by]
+
+
+def _carried(dfa: Dfa, columns: np.ndarray, starts: np.ndarray, ends: np.ndarray, leads: np.ndarray, last: np.ndarray) -> tuple[list[int], list[int]]:
+    """What ends in a lane only because of what its left neighbours read."""
+    step, accepts, begin = dfa.step.tolist(), dfa.accepts.tolist(), dfa.start
+    places: list[int] = []
+    masks: list[int] = []
+    state = begin
+    for lead, a, b, end in zip(leads.tolist(), starts.tolist(), ends.tolist(), last.tolist(), strict=True):
+        if lead or state == begin:
+            state = end
+            continue
+        plain = begin
+        for at, column in enumerate(columns[a:b].tolist(), a):
+            plain, state = step[plain][column], step[state][column]
+            if plain == state:
+                state = end
+                break
+            if accepts[state] & ~accepts[plain]:
+                places.append(at)
+                masks.append(accepts[state] & ~accepts[plain])
+    return places, masks

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .automaton import determinise, scan, segments
+from .automaton import determinise, scan
 from .common import pieces, text_buffer
 
 
@@ -22,7 +23,7 @@ class Rule:
     """head, then at least `least` bytes of tail; shorter tails match and are dropped.
 
     The combined automaton counts `mark` bytes of tail only: counters of several rules
-    multiply its states, and what it marks is measured exactly afterwards.
+    multiply its states, and how far a tail goes is measured at the places that it marks.
     """
 
     kind: str
@@ -47,50 +48,61 @@ KINDS = tuple(r.kind for r in RULES)
 
 @cache
 def combined():
-    """The automaton that marks every place that a span of any rule can hold."""
+    """The automaton that marks every place where head and `mark` bytes of tail of a rule end."""
     return determinise([f"{r.head}{r.tail}{{{r.mark}}}" for r in RULES], anchored=False)
 
 
 @cache
-def single(rule: Rule):
-    """A rule's own automaton, as lists: from a start, its steps show the longest match."""
-    dfa = determinise([f"{rule.head}{rule.tail}+"], anchored=True)
+def backwards(rule: Rule):
+    """The rule's own automaton read from a marked place to the left, as lists: classes, steps, accepts, start, dead."""
+    dfa = determinise([f"{rule.head}{rule.tail}{{{rule.mark}}}"], anchored=True, backwards=True)
     return dfa.classes.tolist(), dfa.step.tolist(), (dfa.accepts > 0).tolist(), dfa.start, dfa.dead
 
 
-def resolve(rule: Rule, data: bytes) -> list[tuple[int, int]]:
-    """Leftmost non-overlapping longest matches, without those whose tail is too short."""
-    classes, step, accepts, start, dead = single(rule)
-    at, found, n = 0, [], len(data)
-    while at < n:
-        state, i, end, tail = start, at, -1, 0
-        while i < n:
-            state = step[state][classes[data[i]]]
+@cache
+def tails(rule: Rule) -> re.Pattern:
+    return re.compile(f"{rule.tail}*".encode())
+
+
+def resolve(rule: Rule, data: bytes, places: list[int]) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping longest matches, without those whose tail is too short.
+
+    places are those of the text at which the combined pass saw head and `mark` bytes of tail end. From there the
+    match's start is read backwards, and its tail taken as far as it goes.
+    """
+    classes, step, accepts, start, dead = backwards(rule)
+    found, free = [], 0
+    for place in places:
+        if place < free:
+            continue
+        state, at, first = start, place, -1
+        while at >= free:
+            state = step[state][classes[data[at]]]
             if state == dead:
                 break
-            i += 1
             if accepts[state]:
-                end, tail = i, tail + 1
-        if end < 0:
-            at += 1
-            continue
-        if tail >= rule.least:
-            found.append((at, end))
-        at = end
+                first = at
+            at -= 1
+        if first >= 0:
+            free = tails(rule).match(data, place + 1).end()
+            if free - place - 1 + rule.mark >= rule.least:
+                found.append((first, free))
     return found
 
 
 def spans(data: np.ndarray, bounds: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
     """For each text with secrets: (start, end, rule number) in bytes of the text, in order."""
-    starts, ends = segments(data, bounds, combined().resets)
-    lanes, masks = scan(combined(), data, starts, ends)
+    places, masks = scan(combined(), data, bounds)
     found: dict[int, list[tuple[int, int, int]]] = {}
-    owner = np.searchsorted(bounds, starts[lanes], side="right") - 1
-    for lane, mask, text in zip(lanes.tolist(), masks.tolist(), owner.tolist(), strict=True):
-        part, shift = data[starts[lane] : ends[lane]].tobytes(), int(starts[lane] - bounds[text])
+    owner = np.searchsorted(bounds, places, side="right") - 1
+    edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(owner)], strict=True) if len(edges) else ():
+        text = int(owner[a])
+        raw = data[bounds[text] : bounds[text + 1]].tobytes()
         for number, rule in enumerate(RULES):
-            if mask >> number & 1:
-                found.setdefault(text, []).extend((a + shift, b + shift, number) for a, b in resolve(rule, part))
+            own = places[a:b][masks[a:b] >> number & 1 == 1] - bounds[text]
+            if len(own):
+                found.setdefault(text, []).extend((x, y, number) for x, y in resolve(rule, raw, own.tolist()))
     return {k: sorted(v, key=lambda x: (x[0], x[2])) for k, v in found.items() if v}
 
 

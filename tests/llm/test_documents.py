@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -55,14 +56,53 @@ def test_secrets_equal_expressions(texts):
         assert (row["n_assign"], row["n_access"], row["n_hex"]) == tuple(sum(x[1] == k for x in found) for k in range(3))
 
 
+def plain_spans(text: str) -> list[tuple[int, int, int]]:
+    """All spans of a text, rule by rule, by Python's expressions."""
+    found = []
+    for number, rule in enumerate(secrets.RULES):
+        for m in re.finditer(f"{rule.head}((?:{rule.tail})+)".replace("----((?:-)+)", "----(-+)"), text):
+            if len(m[m.lastindex]) >= rule.least:
+                found.append((m.start(), m.end(), number))
+    return sorted(found, key=lambda x: (x[0], x[2]))
+
+
+def test_lanes_hide_no_secret(monkeypatch):
+    """Lanes of a few bytes cut every span in many places."""
+    random.seed(17)
+    parts = ["token", "password", "api_key", " = ", "   ", "=", ":", '"', "AKIA", "ABCDEFGH12345678", "deadbeef" * 3, "0123456789abcdef", "x", "\n", "-----BEGIN RSA PRIVATE KEY-----", "gho_" + "a" * 36, "xoxb-1234567890-x", "secret=token:ghp_", "-----BEGIN ", "-"]
+    own = ["".join(random.choice(parts) for _ in range(random.randint(0, 60))) for _ in range(300)]
+    raw = [t.encode() for t in own]
+    bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    for lane in (1, 3, 7, 64, 1024):
+        monkeypatch.setattr(automaton.scan, "__defaults__", (lane,))
+        found = secrets.spans(np.frombuffer(b"".join(raw), np.uint8), bounds)
+        for i, text in enumerate(own):
+            assert found.get(i, []) == plain_spans(text), (lane, text)
+
+
+def test_secrets_of_one_long_line():
+    """A megabyte of words without a line end, and one of a single value, take well under a second each."""
+    words = ("some words and token here " * 45000).encode()
+    value = b"token=" + b"a1B2" * 260000
+    for raw, many in ((words, 0), (value, 1)):
+        secrets.spans(np.frombuffer(raw[:5000], np.uint8), np.array([0, 5000]))
+        start = time.perf_counter()
+        found = secrets.spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert len(found.get(0, [])) == many and time.perf_counter() - start < 1
+    assert found[0] == [(0, len(value), 0)]
+
+
 def test_secrets_odd(odd, empty, texts):
     rows = secrets.find_secrets(odd).collect()
     assert len(rows) == odd.count() and {r["spans"] for r in rows} == {""}
     assert secrets.find_secrets(empty).collect() == []
     clean = secrets.redact_secrets(odd)
     assert clean.columns == odd.columns and sorted(map(repr, clean.collect())) == sorted(map(repr, odd.collect()))
-    hidden = secrets.redact_secrets(texts('say token = "abcdefgh123" ok')).first()
-    assert hidden["text"] == 'say [SECRET:assign]" ok'
+    hidden = secrets.redact_secrets(texts('say token = "abcdefgh123" ok').withColumn("n_chars", F.length("text"))).first()
+    assert hidden["text"] == 'say [SECRET:assign]" ok' and hidden["n_chars"] == len(hidden["text"])
+    clashing = texts("token=abcdefgh1").withColumns({"spans": F.lit("mine"), "n_hex": F.lit("mine"), "n_chars": F.lit(0)})
+    assert secrets.find_secrets(clashing).first()["spans"] == "assign:0:15"
+    assert secrets.redact_secrets(clashing).first()["spans"] == "mine"
 
 
 def test_language_id(texts, odd, empty):
