@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import per_mille
+
 
 def dot(a: Column, b: Column) -> Column:
     """The product of two vectors; what one of them lacks or holds as null is 0."""
@@ -35,6 +37,23 @@ def ranks(scored: DataFrame, group: str = "label") -> DataFrame:
     return scored.join(few.withColumn("rank", F.sum("m").over(upto)).drop("m"), [group, "score"])
 
 
+# Shares of first places, per mille, from which a ranking is shipped, or worked on.
+SHIP, CONTINUE = 600, 500
+
+
+def rank_tallies(ranked: DataFrame, *strata: str) -> DataFrame:
+    """(stratum, value, n, top1, top3, top1_permille, top3_permille, verdict) of a rank column over strata, and over all.
+
+    Null values of a stratum count nowhere. One partial aggregate over all strata together, unpivoted afterwards.
+    """
+    few = ranked.groupBy(*strata).agg(F.count("*").alias("n"), F.count_if(F.col("rank") == 1).alias("top1"), F.count_if(F.col("rank") <= 3).alias("top3"))
+    each = F.array(F.struct(F.lit("all").alias("stratum"), F.lit("all").alias("value")), *(F.struct(F.lit(c).alias("stratum"), F.col(c).cast("string").alias("value")) for c in strata))
+    told = few.select(F.explode(each).alias("s"), "n", "top1", "top3").select("s.*", "n", "top1", "top3").where("value IS NOT NULL")
+    told = told.groupBy("stratum", "value").agg(*(F.sum(c).alias(c) for c in ("n", "top1", "top3")))
+    told = told.withColumns({f"{c}_permille": per_mille(F.col(c), F.col("n")) for c in ("top1", "top3")})
+    return told.withColumn("verdict", F.when(F.col("top1_permille") >= SHIP, "ship").when(F.col("top1_permille") >= CONTINUE, "continue").otherwise("abandon"))
+
+
 def zero_fpr(scored: DataFrame, negative: Column) -> DataFrame:
     """(threshold, n, hits): the least score above all negatives, and positives that reach it."""
     top = scored.agg((F.coalesce(F.max(F.when(negative, F.col("score"))), F.lit(-1)) + 1).alias("threshold"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.matching import arrow_function
+
 
 def content_hash(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
@@ -15,6 +20,31 @@ def content_id(text: Column) -> Column:
     return F.substring(content_hash(text), 1, 16)
 
 
+def normalised(text: str) -> str:
+    """A text without differences of form, case and white space: NFKC, case folded, blanks as one space."""
+    return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
+
+
+def normalised_hash(text: Column) -> Column:
+    """SHA-256 of the normalised text; what Unicode folds can't be said in built-in functions."""
+    fold = arrow_function(lambda texts: [normalised(t) for t in texts], pa.string(), "string")
+    return F.sha2(fold(text).cast("binary"), 256)
+
+
+def fresh_sample(rows: DataFrame, exposed: DataFrame, label: str, most: int, *stratum: str, over: int = 4) -> DataFrame:
+    """At most `most` rows a stratum, those of least content hash, no two alike when normalised.
+
+    rows has sha256, norm and the label; exposed has norm. Of each stratum the first over * most rows are
+    candidates; of these, texts whose normalised forms bear different labels go, exposed ones go, and of each
+    normalised form the first stays. A form that stands in several strata counts where it comes first.
+    """
+    candidates = stratified(rows, list(stratum), most * over)
+    labels = candidates.groupBy("norm").agg(F.min(label).alias("low"), F.max(label).alias("high"), F.min("sha256").alias("first")).where("low = high").select(F.col("norm").alias("__norm"), "first")
+    kept = candidates.join(labels, (F.col("norm") == F.col("__norm")) & (F.col("sha256") == F.col("first"))).drop("__norm", "first")
+    kept = kept.join(exposed.select("norm").where("norm IS NOT NULL").distinct(), "norm", "left_anti")
+    return stratified(kept, list(stratum), most)
+
+
 def dedup_exact(rows: DataFrame, *order: str, text_col: str = "text") -> DataFrame:
     """One row of each text, the first by `order`, which should end in a unique column.
 
@@ -25,7 +55,7 @@ def dedup_exact(rows: DataFrame, *order: str, text_col: str = "text") -> DataFra
     return rows.groupBy(content_hash(F.col(text_col)).alias("sha256")).agg(first).select("sha256", "r.*")
 
 
-def stratified(rows: DataFrame, stratum: str, most: int) -> DataFrame:
+def stratified(rows: DataFrame, stratum: str | list[str], most: int) -> DataFrame:
     """At most `most` rows of each stratum, those of least content hash: a sample without a seed.
 
     Catalyst limits groups before the shuffle, so a large stratum is cut where it is read.

@@ -5,9 +5,9 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
-from inkwarden import evaluations, queries
+from inkwarden import assurance, evaluations, queries
 
-assert evaluations
+assert assurance and evaluations
 
 
 def rows(names, table):
