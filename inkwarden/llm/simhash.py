@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import SPACES, cut
+from .common import SPACES, cut, partitions, unused
 from .components import components
 
 #: Words of a shingle, and bits that linked fingerprints may differ in.
@@ -37,15 +37,20 @@ def _fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the SimHash of a text's word shingles as a signed long.
+def _digest(text: Column) -> Column:
+    """128 bits of a text; a null one is empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, digest: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the SimHash of a text's word shingles as a signed long; also a digest of the text if asked for.
 
     Texts with fewer words than a shingle have one, the whole sequence; null, empty and blank
     texts have none and fp 0. Repeated rows stay. The shingles' XXH64 come from the JVM.
     """
     ship(docs.sparkSession)
     words = F.array_remove(F.split(F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER), SPACES), "")
-    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("w"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("w"), *([_digest(F.col(text_col)).alias("digest")] if digest else []))
     many = F.size("w") - (shingle - 1)
     hashed = F.when(many >= 1, F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", *(F.get(F.col("w"), i + (k - 1)) for k in range(shingle))))))
     hashed = hashed.when(F.size("w") > 0, F.array(F.xxhash64(F.concat_ws(" ", "w")))).otherwise(F.expr("array()").cast("array<bigint>"))
@@ -55,9 +60,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lists = batch.column("h")
             values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             fps = [_fingerprint(values[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            kept = [batch.column(c) for c in ("doc_id", "digest") if c == "doc_id" or digest]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fps, pa.int64())], names=["doc_id", *(["digest"] if digest else []), "fp"])
 
-    return rows.select("doc_id", hashed.alias("h")).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.withColumn("h", hashed).drop("w").mapInArrow(run, f"doc_id {kind}, {'digest binary, ' if digest else ''}fp long")
 
 
 def _anchors(block: Column, number: int) -> tuple[Column, Column]:
@@ -90,21 +97,22 @@ def links(fps: DataFrame) -> DataFrame:
     return homes.join(visits, (F.col("anchor") == F.col("at")) & (F.col("a") < F.col("b")) & near).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id): fingerprints linked at THRESHOLD or fewer differing bits.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, digest: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id): fingerprints linked at THRESHOLD or fewer differing bits; also a digest of the text if asked for.
 
     component_id is the least doc_id that links reach, the document's own included. Equal
     fingerprints (exact copies, all empty texts) are one node, so a large group of copies costs
     one comparison; a null doc_id is kept and never named as a component, unless all ids in
     the component are null.
     """
-    own = cut(fingerprints(docs, id_col, text_col, shingle))
+    own = cut(fingerprints(docs, id_col, text_col, shingle, digest))
     nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes.select("fp")))
+    # Nodes are small and come in few pieces, but each has some thirty anchors.
+    roots = components(links(nodes.select("fp").repartition(partitions(docs.sparkSession), "fp")))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root"), "first")
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "root").select("node", "component_id")
-    return own.join(named, F.col("fp") == F.col("node")).select("doc_id", "fp", "component_id")
+    return own.join(named, F.col("fp") == F.col("node")).select("doc_id", *(["digest"] if digest else []), "fp", "component_id")
 
 
 def shown(fp: Column) -> Column:
@@ -115,8 +123,10 @@ def shown(fp: Column) -> Column:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose doc_id is its component's; all columns stay.
 
-    Rows that repeat an id are one document and stay together; rows without an id stay.
+    Judged by id and text together: a row leaves if its text's component has a smaller id, whatever other
+    rows of its id hold. Rows of one id in one component all stay, as do rows without an id.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    losers = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(losers, F.col(id_col) == F.col("__gone"), "left_anti")
+    found = near_duplicates(docs, id_col, text_col, digest=True)
+    gone, text = unused("__gone", docs.columns), unused("__digest", docs.columns)
+    losers = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone), F.col("digest").alias(text)).distinct()
+    return docs.join(losers, (F.col(id_col) == F.col(gone)) & (_digest(F.col(text_col)) == F.col(text)), "left_anti")
