@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 from .common import cut, partitions, pieces, stored, text_buffer
@@ -18,6 +19,8 @@ from .components import components
 #: Words of a shingle, permutations, and bits kept of each minimum.
 SHINGLE, PERMUTATIONS, BITS = 5, 128, 16
 SEED = 77003
+#: Bytes of text in a range of ids, about.
+RANGE = 32 << 20
 #: Near duplicates share SIMILARITY of their shingles; BANDS bands of ROWS minima meet such a pair but once in 20,000 times.
 SIMILARITY, BANDS, ROWS = 0.8, 25, 5
 #: Words hashed, and shingles permuted, at once; a longer word than LONG goes through BLAKE2.
@@ -129,15 +132,23 @@ def _in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Texts by ranges of doc_id, each range sorted and followed by the first text of the next.
 
     The ends of ranges are quantiles that exist as ids, so each is the first of its range; that one
-    document is sent to the range before as well (guest), the very first to the last. Only one id a
-    range comes to the driver. Rows without an id precede all others.
+    document is sent to the range before as well (guest), the very first to the last. There are as many
+    ranges as shuffle partitions, and more where these would hold over RANGE bytes. Only one id a
+    range comes to the driver. Rows without an id precede all others. Ids must be whole numbers.
     """
+    if not isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        raise TypeError(f"{id_col} must hold whole numbers, not {docs.schema[id_col].dataType.simpleString()}")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    wanted = partitions(docs.sparkSession)
+    low, nulls, size = rows.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull()), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    wanted = max(partitions(docs.sparkSession), -(-size // RANGE))
     shares = [k / wanted for k in range(1, wanted)] or [0.5]
-    low, nulls, ends = rows.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", shares, 100 * wanted)).first()
+    ends = rows.agg(F.percentile_approx("doc_id", shares, 100 * wanted)).first()[0]
     ends = sorted({e for e in ends or [] if e > low or nulls})
 
+    @F.pandas_udf("boolean")
+    def leading(ids: pd.Series) -> pd.Series:
+        return ids.isin(ends)
+
     @F.pandas_udf("int")
     def number(ids: pd.Series) -> pd.Series:
         known = ids.notna().to_numpy()
@@ -147,12 +158,12 @@ def _in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     rows = rows.withColumn("range", number("doc_id"))
     very_first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(low)
-    leads = (very_first | F.col("doc_id").isin(ends)) if ends else very_first
+    leads = very_first | leading("doc_id")
     before = F.when(F.col("range") > 0, F.col("range") - 1).otherwise(F.lit(len(ends)))
     twice = F.array(F.struct("range", F.lit(0).alias("guest")), F.struct(before.alias("range"), F.lit(1).alias("guest")))
     once = F.array(F.struct("range", F.lit(0).alias("guest")))
     rows = rows.select("doc_id", "text", F.explode(F.when(leads, twice).otherwise(once)).alias("to")).select("doc_id", "text", "to.*")
-    return rows.repartition(max(1, len(ends) + 1), "range").sortWithinPartitions("range", "guest", "doc_id", F.xxhash64("text"))
+    return rows.repartitionById(len(ends) + 1, "range").sortWithinPartitions("range", "guest", "doc_id", F.xxhash64("text"))
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
