@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
 from ..shipping import ship
@@ -31,6 +32,8 @@ LENGTH, GRAM = 50, 24
 PLACES = LENGTH - GRAM + 1
 #: Bytes of text packed into one row, windows hashed at once, codes of a bucket, about.
 PACK, BLOCK, BUCKET = 4 << 20, 1 << 19, 1 << 21
+#: An anchor in more packs than HOT is dealt out further by the SIDE bytes next to it, to buckets from SALTED on.
+HOT, SIDE, SALTED = 64, (LENGTH - GRAM) // 2, 1 << 40
 NEVER = np.iinfo(np.int64).max  # stands for a missing id: later than all others
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 20) - 1)
@@ -264,6 +267,42 @@ def coded(found: Runs, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, different, place
 
 
+@dataclass
+class Parts:
+    """What of a pack's contexts goes to which bucket: context number, first window of it, how many, ordered by bucket."""
+
+    bucket: np.ndarray
+    head: np.ndarray
+    skip: np.ndarray
+    count: np.ndarray
+
+    def slices(self) -> Iterator[tuple[int, int, int]]:
+        """(bucket, from, to)."""
+        begin = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])) if len(self.bucket) else np.zeros(0, np.int64)
+        yield from zip(self.bucket[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(self.bucket)], strict=True) if len(begin) else ()
+
+
+def parted(data: np.ndarray, found: Runs, head: np.ndarray, code: np.ndarray, hot: np.ndarray, salts: int) -> Parts:
+    """Contexts whole by their anchor's bucket; those of hot anchors in two parts by what stands beside the anchor.
+
+    A window with at least SIDE bytes before its anchor holds the SIDE bytes there, any other holds as many behind
+    it; so equal windows still meet, and a phrase whose surroundings change is spread over all tasks.
+    """
+    cold, warm = np.flatnonzero(~hot), np.flatnonzero(hot)
+    first, count, place = found.first[head], found.count[head], found.place[head]
+    anchor = (first + place)[warm]
+    left = np.clip(place[warm] - SIDE + 1, 0, count[warm])
+    pieces = [((code[head[cold]] >> np.uint64(32)).astype(np.int64), cold, np.zeros(len(cold), np.int64), count[cold])]
+    for side, at, skip, many in ((0, anchor - SIDE, np.zeros(len(warm), np.int64), left), (1, anchor + GRAM, left, count[warm] - left)):
+        some = np.flatnonzero(many)
+        beside = data[at[some][:, None] + np.arange(SIDE)].astype(np.uint64)
+        salt = mixed((beside + np.uint64(1)) @ powers(SIDE)[0][1 : SIDE + 1] + code[head[warm[some]]] * np.uint64(2) + np.uint64(side))
+        pieces.append((SALTED + (salt % np.uint64(salts)).astype(np.int64), warm[some], skip[some], many[some]))
+    bucket, number, skip, many = (np.concatenate(c) for c in zip(*pieces, strict=True))
+    by = np.argsort(bucket, kind="stable")
+    return Parts(bucket[by], number[by], skip[by], many[by])
+
+
 def _by_bucket(code: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) of the slices of ascending codes."""
     if not len(code):
@@ -279,14 +318,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
     A byte is removed if a string of LENGTH bytes that covers it also starts in a row of a smaller
     doc_id; strings don't cross rows and are judged on the input. Null texts are empty; texts below
     LENGTH bytes keep all. Rows of one id don't count as earlier than each other; rows without an id
-    are later than all others and return a null id. An empty table gives no rows.
+    are later than all others and return a null id. An empty table gives no rows. Ids must be whole numbers.
     """
+    if not isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        raise TypeError(f"{id_col} must hold whole numbers, not {docs.schema[id_col].dataType.simpleString()}")
     ship(docs.sparkSession)
     packs = packed(docs, id_col, text_col, pack_bytes)
     total = packs.agg(F.coalesce(F.sum("raw"), F.lit(0))).first()[0]
     # Codes have 32 bits besides the bucket's: more data, more buckets, longer codes.
     bits = max(6, int(total * 2 / (PLACES + 1) / BUCKET).bit_length())
-    shift = 32 - bits
+    shift, salts = 32 - bits, 4 << bits
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each pack and bucket: the different codes, and which of them lie in several rows."""
@@ -304,7 +345,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
                     yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "pack", "codes", "several"), r, strict=True)) for r in rows], schema=pa.schema([("bucket", pa.int64()), ("pack", pa.int64()), ("codes", pa.binary()), ("several", pa.binary())]))
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Which codes of each pack occur in several rows anywhere."""
+        """Which codes of each pack occur in several rows anywhere, and which of these in many packs."""
         told = pa.Table.from_batches(list(batches)).to_pylist()
         sizes = [len(t["codes"]) // 4 for t in told]
         codes = np.frombuffer(b"".join(t["codes"] for t in told), np.uint32)
@@ -316,38 +357,45 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
         same[:-1] |= same[1:]
         shared = several.copy()
         shared[order] |= same
+        begin = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
+        many = np.diff(np.append(begin, len(c)))
+        hot = np.zeros(len(c), bool)
+        hot[order] = np.repeat(many > HOT, many)
         ends = np.cumsum(sizes)
         for t, a, b in zip(told, ends - sizes, ends, strict=True):
             if shared[a:b].any():
-                yield pa.RecordBatch.from_pylist([{"pack": t["pack"], "kind": 0, "bucket": t["bucket"], "body": np.packbits(shared[a:b]).tobytes()}], schema=_ANSWER)
+                told_of = [(0, shared[a:b]), *([(2, hot[a:b])] if hot[a:b].any() else [])]
+                yield pa.RecordBatch.from_pylist([{"pack": t["pack"], "kind": kind, "bucket": t["bucket"], "body": np.packbits(bits).tobytes()} for kind, bits in told_of], schema=_ANSWER)
 
     def settle(pack: dict, answers: list[dict]):
-        """Runs with a shared anchor, ordered in classes of equal context: (data, bounds, ids, runs, order, new, codes)."""
+        """Runs with a shared anchor, ordered in classes of equal context: (data, bounds, ids, runs, order, new, codes, parts)."""
         data, bounds, ids = unpacked(pack)
         found = runs(data, bounds)
         code, different, place = coded(found, shift)
-        shared = np.zeros(len(different), bool)
-        bodies = {x["bucket"]: x["body"] for x in answers if x["kind"] == 0}
+        shared, hot = np.zeros(len(different), bool), np.zeros(len(different), bool)
+        bodies = {(x["kind"], x["bucket"]): x["body"] for x in answers if x["kind"] != 1}
         for b, i, j in _by_bucket(different):
-            if b in bodies:
-                shared[i:j] = np.unpackbits(np.frombuffer(bodies[b], np.uint8), count=j - i)
+            for kind, bits in ((0, shared), (2, hot)):
+                if (kind, b) in bodies:
+                    bits[i:j] = np.unpackbits(np.frombuffer(bodies[kind, b], np.uint8), count=j - i)
         kept = np.flatnonzero(shared[place])
         order = kept[np.lexsort((kept, ids[found.text[kept]], found.context[kept], code[kept]))]
         new = classes(data, order, code, found.context, found.first, found.count + LENGTH - 1)
-        return data, bounds, ids, found, order, new, code
+        head = order[new]
+        return data, bounds, ids, found, order, new, code, parted(data, found, head, code, hot[place[head]], salts)
 
     def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """Of each pack and bucket: every different context of a shared anchor, with its least id."""
         out = []
         for pack in left.to_pylist():
-            data, _, ids, found, order, new, code = settle(pack, right.to_pylist())
-            head = order[new]
-            first, count = found.first[head], found.count[head]
-            length = count + LENGTH - 1
-            for b, i, j in _by_bucket(code[head]):
+            data, _, ids, found, order, new, code, parts = settle(pack, right.to_pylist())
+            head = order[new][parts.head]
+            first, place = found.first[head] + parts.skip, found.place[head] - parts.skip
+            length = parts.count + LENGTH - 1
+            for b, i, j in parts.slices():
                 n = length[i:j]
                 step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                body = b"".join(x.tobytes() for x in (code[head[i:j]].astype(np.uint32), ids[found.text[head[i:j]]], found.place[head[i:j]].astype(np.uint8), count[i:j].astype(np.uint8), data[np.repeat(first[i:j], n) + step]))
+                body = b"".join(x.tobytes() for x in (code[head[i:j]].astype(np.uint32), ids[found.text[head[i:j]]], place[i:j].astype(np.uint8), parts.count[i:j].astype(np.uint8), data[np.repeat(first[i:j], n) + step]))
                 out.append({"bucket": b, "pack": pack["pack"], "many": j - i, "raw": len(body), "body": squeezed(body)})
         return pa.Table.from_pylist(out, schema=_SENT)
 
@@ -409,12 +457,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
         out = []
         for pack in left.to_pylist():
             answers = right.to_pylist()
-            data, bounds, ids, found, order, new, code = settle(pack, answers)
+            data, bounds, ids, found, order, new, code, parts = settle(pack, answers)
             head = order[new]
             masks = np.zeros(len(head), np.uint32)
             bodies = {x["bucket"]: x["body"] for x in answers if x["kind"] == 1}
-            for b, i, j in _by_bucket(code[head]):
-                masks[i:j] = np.frombuffer(pa.decompress(bodies[b], 4 * (j - i), codec="zstd", asbytes=True), np.uint32)
+            for b, i, j in parts.slices():
+                told = np.frombuffer(pa.decompress(bodies[b], 4 * (j - i), codec="zstd", asbytes=True), np.uint32)
+                np.bitwise_or.at(masks, parts.head[i:j], told << parts.skip[i:j].astype(np.uint32))
             number = np.cumsum(new) - 1
             own = ids[found.text[order]]
             count = found.count[order]
