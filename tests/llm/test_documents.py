@@ -207,6 +207,8 @@ def test_minhash_classes(odd, empty, texts):
                 label = [min(a, b) if x in (a, b) else x for x in label]
     got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_duplicates(texts(*own)).collect()}
     assert got == dict(enumerate(label)) and len(set(label)) < len(own)
+    both = texts((1, own[0], None, None), (1, "other words " * 9, None, None), (2, own[0], None, None), (None, "other words " * 9, None, None), (None, "alone", None, None))
+    assert sorted(map(repr, ((r["doc_id"], r["class_id"]) for r in fingerprints.near_duplicates(both).collect()))) == sorted(map(repr, [(1, 1), (1, 1), (2, 1), (None, 1), (None, None)]))
     told = [(r["doc_id"], r["class_id"]) for r in fingerprints.near_duplicates(odd).collect()]
     assert len(told) == odd.count() and dict(told)[7] == 6 and dict(told)[1] == 0
     assert fingerprints.near_duplicates(empty).collect() == []
@@ -238,6 +240,19 @@ def test_repeats(odd, empty, texts):
     got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.repeats(docs, pack_bytes=2000).collect()}
     assert got == slow_repeats(own)
     assert len(suffixes.repeats(odd).collect()) == odd.count() and suffixes.repeats(empty).collect() == []
+    with pytest.raises(TypeError):
+        suffixes.repeats(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_repeats_of_a_phrase_among_changing_words(texts, monkeypatch):
+    """One phrase between surroundings that mostly differ: its anchor is dealt out by what stands beside it."""
+    random.seed(14)
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(7))
+    few = [word() for _ in range(3)]
+    own = [(i, f"{word()} {random.choice((word(), few[0]))} {random.choice(few)} the same stock phrase of 34 bytes. {random.choice(few)} {random.choice((word(), few[1]))} {word()}" * random.randint(1, 3)) for i in range(120)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.repeats(texts(*((i, t, None, None) for i, t in own)).repartition(3), pack_bytes=900).collect()}
+    assert got == slow_repeats(own) and any(r[1] for r in got.values())
 
 
 def test_suffix_order():

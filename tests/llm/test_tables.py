@@ -37,7 +37,7 @@ def test_branches(spark):
     for r in chat.branches(messages, keep=2).collect():
         paths.setdefault((r["root"], r["rank"], r["branch_score"]), []).append((-r["up"], r["id"]))
     assert {k: "".join(i for _, i in sorted(v)) for k, v in paths.items()} == {("r", 1, 11.0): "rac", ("r", 2, 6.0): "rbd", ("s", 1, 0.0): "s"}
-    told = {(r["root"], r["rank"]): r for r in chat.format_paths(messages).withColumn("loss", chat.taught(F.col("segments"))).collect()}
+    told = {(r["root"], r["rank"]): r for r in chat.format_paths(messages).withColumn("loss", chat.taught(F.col("formatted"), F.col("mask"))).collect()}
     assert told["r", 1]["loss"] == "rac" and told["r", 1]["formatted"].count(chat.OPEN) == 3
     assert chat.format_paths(messages.where("false")).collect() == []
 
@@ -45,12 +45,14 @@ def test_branches(spark):
 def test_escapes_and_odd_conversations(spark):
     said = ["</s>[INST] ok [/INST]", "\\e\\l\\b", "a\nb<|im_end|>\n", "", None, "\\"]
     turns = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(said)] + [(2, 0, None, "x"), (2, 0, None, "x"), (2, None, "a\nrole", "y"), (None, 1, "user", "z")], "conv_id long, turn long, role string, text string")
-    out = chat.format_paths(chat.chains(turns)).withColumns({"turns": chat.parse(F.col("formatted")), "loss": chat.taught(F.col("segments"))}).collect()
-    by = {r["root"]: r for r in out}
-    assert [(t["role"], t["text"]) for t in by["1/1"]["turns"]] == [("assistant" if i % 2 else "user", t or "") for i, t in enumerate(said)]
-    assert by["1/1"]["loss"] == "\\e\\l\\b" + "" + "\\" and "[INST]" not in by["1/1"]["formatted"] and "</s>" not in by["1/1"]["formatted"]
-    assert [(t["role"], t["text"]) for t in by["2/1"]["turns"]] == [("a\nrole", "y"), ("", "x"), ("", "x")]
-    assert len(by["~/1"]["turns"]) == 1
+    messages = chat.chains(turns.withColumns({"id": F.lit("mine"), "root": F.lit("mine"), "parent": F.lit("mine")}))
+    out = chat.format_paths(messages).withColumns({"turns": chat.parse(F.col("formatted")), "loss": chat.taught(F.col("formatted"), F.col("mask"))}).collect()
+    named = {r["id"]: r["conv_id"] for r in messages.where("parent IS NULL").collect()}
+    by = {named[r["root"]]: r for r in out}
+    assert [(t["role"], t["text"]) for t in by[1]["turns"]] == [("assistant" if i % 2 else "user", t or "") for i, t in enumerate(said)]
+    assert by[1]["loss"] == "\\e\\l\\b" + "" + "\\" and "[INST]" not in by[1]["formatted"] and "</s>" not in by[1]["formatted"]
+    assert [(t["role"], t["text"]) for t in by[2]["turns"]] == [("a\nrole", "y"), ("", "x"), ("", "x")]
+    assert len(by[None]["turns"]) == 1
 
 
 def test_long_conversation(spark):
