@@ -15,6 +15,7 @@ TAUGHT = "assistant"
 
 
 def escape(text: Column) -> Column:
+    """The text without any control string; reversible."""
     for plain, escaped in _ESCAPES:
         text = F.replace(text, F.lit(plain), F.lit(escaped))
     return text
@@ -69,35 +70,36 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     best = Window.partitionBy("top").orderBy(F.col("total").desc(), F.col("id"))
     chosen = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
     path = chosen.select(F.col("top").alias("root"), "rank", F.col("total").alias("branch_score"), F.col("id").alias("leaf"), F.lit(0).cast("long").alias("up"), "id")
+    # Each step doubles the nodes known of a path; a row and what it leads to come from one join, so the plan is a chain.
     for power in reversed(range(len(jumps))):
-        higher = path.join(jumps[power].withColumnRenamed("id", "at"), F.col("id") == F.col("at")).select("root", "rank", "branch_score", "leaf", (F.col("up") + 2**power).alias("up"), F.col("anc").alias("id"))
-        path = path.unionByName(higher)
-        if power % 3 == 0:
-            path = stored(path)
+        further = jumps[power].withColumnRenamed("id", "at")
+        both = F.array(F.struct("up", "id"), F.when(F.col("anc").isNotNull(), F.struct((F.col("up") + 2**power).alias("up"), F.col("anc").alias("id"))))
+        path = path.join(further, F.col("id") == F.col("at"), "left").select("root", "rank", "branch_score", "leaf", F.explode(F.array_compact(both)).alias("node")).select("root", "rank", "branch_score", "leaf", "node.*")
     return path
 
 
 def format_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
-    """(root, rank, branch_score, leaf, formatted, segments): one conversation a chosen path.
+    """(root, rank, branch_score, leaf, formatted, mask): one conversation a chosen path.
 
-    messages has id, parent, role, text and score. formatted is the whole string; segments are its
-    pieces in order as (text, loss), loss true for what the model is taught: assistant texts, escaped,
+    messages has id, parent, role, text and score. formatted is the whole string; mask holds the
+    (start, length) of what the model is taught there, in code points from 0: assistant texts, escaped,
     without their markers. Null roles and texts are empty. A conversation becomes one string, so its
     turns meet in one task; nothing else does.
     """
     turns = messages.select("id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     path = branches(messages, keep).withColumnRenamed("id", "node")
     rows = path.join(turns, F.col("node") == F.col("id"))
-    role = escape_role(F.col("role"))
-    three = F.array(
-        F.struct(F.concat(F.lit(OPEN), role, F.lit("\n")).alias("text"), F.lit(False).alias("loss")),
-        F.struct(escape(F.col("text")).alias("text"), (F.col("role") == TAUGHT).alias("loss")),
-        F.struct(F.lit(CLOSE).alias("text"), F.lit(False).alias("loss")),
-    )
-    rows = rows.select("root", "rank", "branch_score", "leaf", F.struct((-F.col("up")).alias("at"), three.alias("s")).alias("turn"))
-    whole = rows.groupBy("root", "rank", "branch_score", "leaf").agg(F.array_sort(F.collect_list("turn"), lambda x, y: (x["at"] - y["at"]).cast("int")).alias("turns"))
-    whole = whole.withColumn("segments", F.flatten(F.transform("turns", lambda t: t["s"])))
-    return whole.select("root", "rank", "branch_score", "leaf", F.array_join(F.col("segments.text"), "").alias("formatted"), "segments")
+    text, head = escape(F.col("text")), F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))
+    rows = rows.select("root", "rank", "branch_score", "leaf", "up", head.alias("head"), text.alias("body"), (F.col("role") == TAUGHT).alias("loss"))
+    keys = ("root", "rank", "branch_score", "leaf")
+    # Where each turn's text begins is a running sum in the partition that the turns meet in anyway.
+    earlier = Window.partitionBy(*keys).orderBy(F.col("up").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("head") + F.length("body") + F.lit(len(CLOSE))
+    rows = rows.withColumn("start", F.coalesce(F.sum(size).over(earlier), F.lit(0)) + F.length("head"))
+    turn = F.struct((-F.col("up")).alias("at"), F.concat("head", "body", F.lit(CLOSE)).alias("whole"), F.struct("start", F.length("body").cast("long").alias("length")).alias("place"), "loss")
+    whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    mask = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["place"])
+    return whole.select(*keys, F.array_join(F.col("turns.whole"), "").alias("formatted"), mask.alias("mask"))
 
 
 def parse(formatted: Column) -> Column:
@@ -107,19 +109,21 @@ def parse(formatted: Column) -> Column:
     return F.transform(bodies, lambda b: F.struct(unescape_role(F.substring_index(b, "\n", 1)).alias("role"), unescape(F.substring(b, F.length(F.substring_index(b, "\n", 1)) + 2, F.length(b))).alias("text")))
 
 
-def taught(segments: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def taught(formatted: Column, mask: Column) -> Column:
+    """All text of a formatted conversation under its loss mask, unescaped, in order."""
+    part = lambda m: F.substring(formatted, (m["start"] + 1).cast("int"), m["length"].cast("int"))
+    return F.array_join(F.transform(mask, lambda m: unescape(part(m))), "")
 
 
 def chains(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
     """Reply trees of plain conversations: each turn answers the one before.
 
-    Turns of equal number (repeated rows) follow each other by role and text; a null number comes first.
+    Turns of equal number (repeated rows) follow each other by role and text; a null number comes first. The
+    result is a written table, (id, parent, conv_id, role, text, score).
     """
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), "role", "text")
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("n", F.row_number().over(order))
-    name = lambda n: F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("~")), F.lit("/"), n.cast("string"))
-    parent = F.when(F.col("n") > 1, name(F.col("n") - 1))
-    return rows.select(name(F.col("n")).alias("id"), parent.alias("parent"), "conv_id", "role", "text", F.lit(0.0).alias("score"))
+    # Ids are numbers that a node has from its place among the sorted rows; the written table makes them final.
+    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("id", F.monotonically_increasing_id())
+    rows = rows.withColumn("parent", F.lag("id").over(Window.partitionBy("conv_id").orderBy("n")))
+    return stored(rows.select("id", "parent", "conv_id", "role", "text", F.lit(0.0).alias("score")))
