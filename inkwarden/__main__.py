@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
     gap = read.where("problem IS NOT NULL").select(F.col("path").alias("doc_id"), F.lit("inconclusive").alias("outcome"), F.lit(0).alias("score"), F.lit("none").alias("risk"), F.lit("inconclusive").alias("decision"), F.array(causes(F.col("problem"))).alias("incomplete"))
     told = told.unionByName(gap, allowMissingColumns=True)
     empty = lambda c: F.coalesce(c, F.array().cast(told.schema[c].dataType))
-    told = told.withColumns({"reasons": empty("reasons"), "suppressed": empty("suppressed"), "reasons_truncated": F.coalesce("reasons_truncated", F.lit(False)), "ruleset": F.lit(ruleset.digest)}).orderBy("doc_id").cache()
+    told = told.withColumns({"reasons": empty("reasons"), "suppressed": empty("suppressed"), "reasons_truncated": F.coalesce("reasons_truncated", F.lit(False)), "ruleset": F.lit(ruleset.identity)}).orderBy("doc_id").cache()
     try:
         for part in report.json_parts(told) if args.format == "json" else report.text_parts(told):
             sys.stdout.write(part if args.format == "json" else part + "\n")

@@ -78,6 +78,14 @@ class Ruleset:
         return told.hexdigest()[:16]
 
 
+    @property
+    def identity(self) -> str:
+        """The digest, and where each rule comes from and under which limits it was let in: what a verdict names."""
+        own = {r.id: "builtin" if BUILTIN_BY_ID.get(r.id) == replace(r, enabled=True) else "supplied" for r in self.rules}
+        told = "|".join([self.digest, *(f"{k}={v}" for k, v in sorted(own.items())), str((MAX_RULES, MAX_PATTERN_BYTES, MAX_REPEATS))])
+        return hashlib.sha256(told.encode()).hexdigest()[:16]
+
+
 # Ids, classes, severities, patterns, literals and anchors of the built-in rules.
 BUILTIN_RULES = (
     Rule(
@@ -261,6 +269,9 @@ EXPERIMENTAL_RULES = (
 
 BUILTIN = Ruleset("inkwarden.builtin", "1", tuple(sorted(BUILTIN_RULES, key=lambda r: r.id)))
 
+#: Rules that are trusted as they stand; all others count as supplied.
+BUILTIN_BY_ID = {r.id: r for r in (*BUILTIN_RULES, *EXPERIMENTAL_RULES)}
+
 _RULE_FIELDS = {"id", "class", "severity", "pattern", "literals", "description", "anchor", "fires_in_quotes", "enabled"}
 
 

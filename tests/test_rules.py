@@ -45,3 +45,15 @@ def test_load_is_all_or_nothing(tmp_path):
     assert len(rules.load([str(tmp_path / "good.toml")]).rules) == 19
     with pytest.raises(RulesetError, match="gone.toml"):
         rules.load([str(tmp_path / "good.toml"), str(tmp_path / "gone.toml")])
+
+
+def test_identity_tells_supplied_rules_from_built_in_ones():
+    from dataclasses import replace
+
+    from inkwarden.rules import BUILTIN, layer
+
+    same = replace(BUILTIN, rules=tuple(replace(r) for r in BUILTIN.rules))
+    assert same.identity == BUILTIN.identity and len(BUILTIN.identity) == 16
+    own = replace(BUILTIN.rules[0], description="mine")
+    assert layer(BUILTIN, replace(BUILTIN, rules=(own,))).identity != BUILTIN.identity
+    assert layer(BUILTIN, disable=(BUILTIN.rules[0].id,)).identity != BUILTIN.identity
