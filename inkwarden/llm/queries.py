@@ -48,9 +48,8 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of texts and edited texts, and the class of near duplicates that signature bands and Jaccard put a text in."""
-    docs = documents(spark, sf_dir)
-    return fingerprints.fingerprint(docs, classes=fingerprints.near_duplicates(docs))
+    """Fingerprints of every text and its edited text, and how alike they are."""
+    return fingerprints.fingerprint(documents(spark, sf_dir))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,13 @@ def test_op6(spark, folder, rows):
         assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(own[i]), hashlib.sha256(edited.encode()).hexdigest(), shown(signs[i]), shown(changed))
         assert (r["near_edited"], r["near_next"]) == (alike(signs[i], changed), alike(signs[i], signs[following]))
     assert len(got) == len(own)
+
+
+def test_classes_beside_fingerprints(spark, folder, rows):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint(docs, classes=fingerprints.near_duplicates(docs)).collect()}
+    own = {i: t or "" for i, t, *_ in rows}
+    assert len(got) == len(own)
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} if t.split() else set() for i, t in own.items()}
     label = {i: i for i in own}
     for a in own:
