@@ -9,7 +9,7 @@ from .corpus import PAYLOADS, scan_corpus
 from .evaluations import _RESULTS, _SCORES, _SHA, _outliers, _results, per_mille
 from .functions import anchors
 from .operators import matching
-from .plans import boundary, freezing, outliers, reviews, sampling, slices
+from .plans import boundary, freezing, metrics, outliers, reviews, sampling, slices
 from .policy import SOURCES
 from .queries import FOUND, query, table
 from .rules import BUILTIN
@@ -130,3 +130,30 @@ def boundary_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads and benchmark texts at the tokens where windows of 64 begin and end; word tokens stand in for a model's."""
     seeds = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text").unionByName(spark.createDataFrame([(a, t) for a, _, t in PAYLOADS], "id string, text string"))
     return boundary.suite(seeds, 64).select("seed", "placement", F.sha2("text", 256).alias("digest"), "start", "end", "token_start", "token_end")
+
+
+@query("""SELECT source, count(*)::BIGINT AS n, round(regr_slope(ln(len(regexp_extract_all(text, '[A-Za-z0-9]+'))), ln(strlen(text))), 6) AS exponent
+FROM documents WHERE strlen(text) > 0 AND len(regexp_extract_all(text, '[A-Za-z0-9]+')) > 0 GROUP BY source""")
+def growth_exponent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of texts grow with their bytes, by source."""
+    words, size = F.regexp_count("text", F.lit("[A-Za-z0-9]+")), F.octet_length("text")
+    told = metrics.growth(table(spark, sf_dir, "documents"), size, F.when(words > 0, words), "source")
+    return told.select("source", "n", F.round("exponent", 6).alias("exponent"))
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), e AS (SELECT vec_id, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n, list_max(v) AS top, v FROM v)
+SELECT vec_id, round(n, 6) AS norm, round(list_max(v) / n, 6) AS largest, round(1 / list_sum(list_transform(v, lambda x: exp(x - top))), 6) AS surest FROM e""")
+def vector_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every vector: its length, the largest component of its unit vector, and of its softmax."""
+    v = F.col("embedding").cast("array<double>")
+    top = lambda x: F.round(F.array_max(x), 6)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(outliers.norm(v), 6).alias("norm"), top(outliers.unit(v)).alias("largest"), top(outliers.softmax(v)).alias("surest"))
+
+
+_MEANS = ", ".join(f"round(avg(embedding[{i}]::DOUBLE), 6) AS m{i}" for i in (1, 2, 64))
+
+
+@query(f"SELECT label, {_MEANS} FROM embeddings GROUP BY label")
+def mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = outliers.mean_pool(table(spark, sf_dir, "embeddings"), "embedding", 64, "label")
+    return pooled.select("label", *(F.round(F.get("embedding", F.lit(i - 1)), 6).alias(f"m{i}") for i in (1, 2, 64)))

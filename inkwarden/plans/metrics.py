@@ -134,6 +134,15 @@ def bootstrap(groups: pd.DataFrame, hits: str, n: str, draws: int = 2000, state:
     return (float(rates[(len(rates) - 1) * 25 // 1000]), float(rates[(len(rates) - 1) * 975 // 1000])) if len(rates) else None
 
 
+def growth(rows: DataFrame, size: Column, cost: Column, *by: str) -> DataFrame:
+    """(by, n, exponent): the slope of log cost over log size, by least squares; 1 is growth in proportion.
+
+    Sizes and costs that aren't above zero are left out; fewer than two different sizes give a null.
+    """
+    positive = rows.select(*by, F.ln(size).alias("x"), F.ln(cost).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    return positive.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("exponent"))
+
+
 def integrity(results: DataFrame, declared: DataFrame) -> DataFrame:
     """(slice, status): a slice is complete if its rows and digest are those declared, else what is wrong.
 

@@ -13,6 +13,29 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
+def norm(v: Column) -> Column:
+    return F.sqrt(dot(v, v))
+
+
+def unit(v: Column) -> Column:
+    """The vector at length 1; a zero vector stays as it is."""
+    size = norm(v)
+    return F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(x))
+
+
+def softmax(v: Column) -> Column:
+    """Shares by exp, safe against overflow."""
+    top = F.array_max(v)
+    powers = F.transform(v, lambda x: F.exp(x - top))
+    total = F.aggregate(powers, F.lit(0.0).cast("double"), lambda s, x: s + x)
+    return F.transform(powers, lambda x: x / total)
+
+
+def mean_pool(rows: DataFrame, vector: str, size: int, *by: str) -> DataFrame:
+    """(by, <vector>): the mean of a group's vectors, as `size` partial sums."""
+    return rows.groupBy(*by).agg(F.array(*(F.avg(F.get(vector, F.lit(i)).cast("double")) for i in range(size))).alias(vector))
+
+
 def outlier_scores(rows: DataFrame, group: str = "label", vector: str = "embedding", size: int | None = None) -> DataFrame:
     """(vec_id, group, score): 1000 minus 1000 times the mean product with the group's other vectors, 0 to 2000.
 

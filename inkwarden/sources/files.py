@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -107,6 +109,12 @@ def read_fixtures(spark: SparkSession, folder: str, expected: str | None = None)
     return rows.where(F.col("expected") == expected) if expected else rows
 
 
+def read_generated(spark: SparkSession, path: str, positive: bool | None = None) -> DataFrame:
+    """Generated corpus rows; those with an injected span are positive, and only these, or only the others, if asked for."""
+    rows = read_jsonl(spark, path, CORPUS_ROW)
+    return rows if positive is None else rows.where(F.col("injected_span").isNotNull() == F.lit(positive))
+
+
 def read_prose(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of Markdown files that aren't empty; broken UTF-8 is replaced."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
@@ -138,6 +146,41 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(parse, schema)
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(model, revision, file, bytes, sha256) of a model manifest in JSON; a revision that is no full commit id, or a broken row, raises."""
+    kind = "model string, revision string, files array<struct<file:string,bytes:bigint,sha256:string>>"
+    rows = spark.read.schema(kind).option("mode", "FAILFAST").option("multiLine", True).json(path)
+    sound = F.col("revision").rlike(r"\A[0-9a-f]{40}\z") & F.col("f.sha256").rlike(r"\A[0-9a-f]{64}\z") & (F.col("f.bytes") >= 0)
+    rows = rows.select("model", "revision", F.explode("files").alias("f"))
+    checked = F.when(F.coalesce(sound, F.lit(False)), F.col("revision")).otherwise(F.raise_error(F.lit("a manifest needs full revisions, sizes and SHA-256 digests")))
+    return rows.select("model", checked.alias("revision"), "f.*")
+
+
+@dataclass(frozen=True)
+class ClassifierConfig:
+    """How a classifier is run: which model, from which score on it counts, how its windows lie."""
+
+    model: str
+    revision: str
+    threshold: int = 700
+    max_tokens: int = 512
+    overlap: int = 63
+    max_windows: int = 16
+
+    def __post_init__(self) -> None:
+        if not re.fullmatch("[0-9a-f]{40}", self.revision) or not 0 <= self.threshold <= 1000 or not 0 <= self.overlap < self.max_tokens or self.max_windows < 1:
+            raise ValueError(f"unusable classifier configuration: {self}")
+
+
+def read_classifier(path: str) -> ClassifierConfig:
+    """A classifier's JSON configuration; unknown fields are errors."""
+    with open(path, encoding="utf-8") as file:
+        raw = json.load(file)
+    if unknown := set(raw) - {f.name for f in fields(ClassifierConfig)}:
+        raise ValueError(f"unknown {sorted(unknown)}")
+    return ClassifierConfig(**raw)
+
+
 def verify_assets(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """(file, problem) of model files whose size or SHA-256 isn't the manifest's (file, bytes, sha256)."""
     rows = spark.read.format("binaryFile").load(folder)

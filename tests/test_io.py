@@ -77,3 +77,21 @@ def test_an_empty_list_of_records(spark, tmp_path):
     (tmp_path / "none.jsonl").write_text("\n\n")
     good, broken = files.read_counted(spark, str(tmp_path / "none.jsonl"), "id string")
     assert good.count() == 0 and broken.first()["n_broken"] == 0
+
+
+def test_generated_rows_manifests_and_classifiers(spark, tmp_path):
+    (tmp_path / "rows.jsonl").write_text('{"id": "a", "text": "x", "injected_span": [0, 1]}\n{"id": "b", "text": "y"}\n')
+    ids = lambda positive: sorted(r["id"] for r in files.read_generated(spark, str(tmp_path / "rows.jsonl"), positive).collect())
+    assert (ids(None), ids(True), ids(False)) == (["a", "b"], ["a"], ["b"])
+    listed = {"model": "m", "revision": "0123456789" * 4, "files": [{"file": "w.bin", "bytes": 3, "sha256": "a" * 64}]}
+    (tmp_path / "good.json").write_text(json.dumps(listed))
+    (tmp_path / "bad.json").write_text(json.dumps(listed | {"revision": "main"}))
+    assert files.read_manifest(spark, str(tmp_path / "good.json")).first()["file"] == "w.bin"
+    with pytest.raises(Exception, match="full revisions"):
+        files.read_manifest(spark, str(tmp_path / "bad.json")).collect()
+    (tmp_path / "c.json").write_text(json.dumps({"model": "m", "revision": "a" * 40, "threshold": 800}))
+    assert files.read_classifier(str(tmp_path / "c.json")).threshold == 800
+    for wrong in ({"revision": "a"}, {"threshold": 1001}, {"more": 1}):
+        (tmp_path / "c.json").write_text(json.dumps({"model": "m", "revision": "a" * 40} | wrong))
+        with pytest.raises(ValueError):
+            files.read_classifier(str(tmp_path / "c.json"))
