@@ -94,7 +94,8 @@ def links(fps: DataFrame) -> DataFrame:
     homes = fps.select(F.col("fp").alias("a"), F.explode(F.array(*(h for h, _ in parts))).alias("anchor"))
     visits = fps.select(F.col("fp").alias("b"), F.explode(F.concat(*(v for _, v in parts))).alias("at"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD
-    return homes.join(visits, (F.col("anchor") == F.col("at")) & (F.col("a") < F.col("b")) & near).select("a", "b")
+    # Spark takes a table for no larger than before its anchors were listed; a broadcast by that size fills the driver.
+    return homes.join(visits.hint("merge"), (F.col("anchor") == F.col("at")) & (F.col("a") < F.col("b")) & near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, digest: bool = False) -> DataFrame:

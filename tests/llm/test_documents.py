@@ -169,6 +169,15 @@ def test_anchors_lose_no_link(spark):
     assert got == want and want
 
 
+def test_anchors_are_not_broadcast(spark):
+    """The plan that ran, with anchors behind an exchange whose size Spark knows, as in near_duplicates."""
+    found = simhash.links(spark.range(2000).select(F.xxhash64("id").alias("fp")).repartition(4, "fp"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    assert "Broadcast" not in plan
+
+
 def test_fingerprints(odd, empty, texts):
     random.seed(2)
     own = [" ".join(random.choice("abcdefgh") + str(random.randint(0, 9)) for _ in range(random.randint(0, 300))) for _ in range(60)]
