@@ -74,6 +74,22 @@ def test_op5(spark, folder, rows):
     assert kinds == {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"}
 
 
+def test_op5_broadcasts_no_anchors(spark, folder, monkeypatch):
+    """The links of the query as it makes them, by the plan that ran."""
+    made, own = [], simhash.components
+
+    def kept(edges):
+        made.append(edges)
+        return own(edges)
+
+    monkeypatch.setattr(simhash, "components", kept)
+    queries.QUERIES["op5_simhash_near_dedup"](spark, folder)
+    made[0].collect()
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    assert "Broadcast" not in plan
+
+
 def slow_mixed(x: int) -> int:
     for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
         x = (x ^ x >> 33) * factor & M
