@@ -5,9 +5,8 @@ that share their first LENGTH bytes. All suffixes of a corpus can't be sorted in
 most share nothing, so they are dealt out by content first: every window of LENGTH bytes is named
 by its anchor, the GRAM bytes in it of least hash, and equal windows have equal anchors. Anchors
 that occur in one document only are settled by a short code; the windows of the others meet by
-anchor and are sorted as suffixes there, comparing by prefix polynomial hashes: a binary search
-finds how far two suffixes agree, so a comparison takes log(LENGTH) steps of a mergesort.
-Suffixes found equal are compared byte by byte before anything is removed.
+anchor and are sorted as suffixes there, by their first LENGTH bytes, a few at a time.
+Contexts found equal by hash are compared byte by byte before anything is removed.
 """
 
 from __future__ import annotations
@@ -145,74 +144,44 @@ def classes(data: np.ndarray, order: np.ndarray, code: np.ndarray, context: np.n
     return new
 
 
-def agree(hashes: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many bytes, LENGTH at most, two suffixes share: binary search over prefix hashes."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), LENGTH, np.int64)
-    while True:
-        middle = (low + high + 1) // 2
-        equal = (hashes[a + middle] - hashes[a]) * inverse[a] == (hashes[b + middle] - hashes[b]) * inverse[b]
-        low, high = np.where(equal, middle, low), np.where(equal, high, middle - 1)
-        if (low >= high).all():
-            return low
+def ranked(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes by group (given ascending), then by their first LENGTH bytes, stable; which equal the one before them.
 
+    All groups are sorted at once, a few bytes at a time: a round orders those that agree so far with a neighbour by
+    the next bytes. So a group of any size costs LENGTH bytes a suffix at most, and those told apart early cost less.
+    """
+    order, same = np.arange(len(at)), np.append(False, group[1:] == group[:-1])[: len(at)]
+    eight = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
+    done = 0
+    while done < LENGTH:
+        live = np.flatnonzero(same | np.append(same[1:], False)) if len(at) else order
+        if not len(live):
+            break
+        rank = np.cumsum(~same[live]) - 1  # leaves room for as many bytes beside it in a key
+        take = min(8, (64 - int(rank[-1]).bit_length()) // 8, LENGTH - done)
+        key = eight[at[order[live]] + done].view(">u8")[:, 0].astype(np.uint64) >> np.uint64(64 - 8 * take)
+        done += take
+        if (key == key[~same[live]][rank]).all():
+            continue
+        if take < 8:
+            key |= rank.astype(np.uint64) << np.uint64(8 * take)
+        by = np.argsort(key, kind="stable")
+        order[live], key = order[live[by]], key[by]
+        same[live[1:]] = key[1:] == key[:-1]
+    return order, same
 
-def sort_suffixes(data: np.ndarray, hashes: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Order of suffixes by group (given ascending), then by their first LENGTH bytes; stable.
 
-    A bottom-up mergesort of all groups at once: in each round every suffix finds its rank among the
-    neighbouring run of its group by binary search.
-    """
-    inverse = powers(len(data) + 1)[1]
-    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(begin, len(group)))
-    base, size = np.repeat(begin, sizes), np.repeat(sizes, sizes)
-    order, width = np.arange(len(at)), 1
-    while width < (sizes.max() if len(sizes) else 0):
-        local = np.arange(len(at)) - base
-        run = local // width
-        other = (run ^ 1) * width
-        live = np.flatnonzero((size > width) & (other < size))
-        mine, left = at[order[live]], (run[live] & 1) == 1  # left: the other run precedes
-        low, high = other[live], np.minimum(other[live] + width, size[live])
-        first = low.copy()
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                break
-            middle = (low[open_] + high[open_]) // 2
-            theirs = at[order[base[live[open_]] + middle]]
-            shared = agree(hashes, inverse, theirs, mine[open_])
-            full = shared == LENGTH
-            step = np.minimum(shared, LENGTH - 1)
-            before = np.where(full, left[open_], data[theirs + step] < data[mine[open_] + step])
-            low[open_] = np.where(before, middle + 1, low[open_])
-            high[open_] = np.where(before, high[open_], middle)
-        to = local.copy()
-        to[live] = np.minimum(run[live], run[live] ^ 1) * width + (local[live] - run[live] * width) + (low - first)
-        moved = np.empty_like(order)
-        moved[base + to] = order
-        order, width = moved, width * 2
-    return order
+def sort_suffixes(data: np.ndarray, hashes: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order alone; bytes are compared, so the hashes are not asked."""
+    return ranked(data, at, group)[0]
 
 
 def least_id(data: np.ndarray, at: np.ndarray, group: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each window at a suffix: the least id among equal windows of its group."""
     by = np.argsort(group, kind="stable")
-    at, group, ids = at[by], group[by], ids[by]
-    hashes = prefix_hashes(data)
-    order = sort_suffixes(data, hashes, at, group)
-    new = np.ones(len(order), bool)
-    a, b = at[order[:-1]], at[order[1:]]
-    near = np.flatnonzero(group[order[:-1]] == group[order[1:]])
-    equal = agree(hashes, powers(len(data) + 1)[1], a[near], b[near]) == LENGTH
-    near = near[equal]
-    true = same_bytes(data, a[near], b[near], np.full(len(near), LENGTH))
-    if not true.all():  # hashes collided: sort by the bytes themselves
-        order = np.array(sorted(range(len(at)), key=lambda i: (group[i], data[at[i] : at[i] + LENGTH].tobytes())), np.int64)
-        keys = [(group[i], data[at[i] : at[i] + LENGTH].tobytes()) for i in order]
-        near = np.array([i for i in range(len(keys) - 1) if keys[i] == keys[i + 1]], np.int64)
-    new[near + 1] = False
-    begin = np.flatnonzero(new)
+    order, same = ranked(data, at[by], group[by])
+    ids = ids[by]
+    begin = np.flatnonzero(~same)
     least = np.minimum.reduceat(ids[order], begin) if len(begin) else ids[:0]
     out = np.empty(len(at), np.int64)
     out[by[order]] = np.repeat(least, np.diff(np.append(begin, len(order))))
@@ -362,10 +331,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
         hot = np.zeros(len(c), bool)
         hot[order] = np.repeat(many > HOT, many)
         ends = np.cumsum(sizes)
+        rows = []
         for t, a, b in zip(told, ends - sizes, ends, strict=True):
             if shared[a:b].any():
                 told_of = [(0, shared[a:b]), *([(2, hot[a:b])] if hot[a:b].any() else [])]
-                yield pa.RecordBatch.from_pylist([{"pack": t["pack"], "kind": kind, "bucket": t["bucket"], "body": np.packbits(bits).tobytes()} for kind, bits in told_of], schema=_ANSWER)
+                rows += [{"pack": t["pack"], "kind": kind, "bucket": t["bucket"], "body": np.packbits(bits).tobytes()} for kind, bits in told_of]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_ANSWER)
 
     def settle(pack: dict, answers: list[dict]):
         """Runs with a shared anchor, ordered in classes of equal context: (data, bounds, ids, runs, order, new, codes, parts)."""
@@ -447,11 +419,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pac
         for w in range(PLACES):
             exact |= ((least[number[mine], w] < ids[mine]) & (w < count[mine])).astype(np.uint32) << np.uint32(w)
         masks[mine] = exact
-        at = 0
+        at, rows = 0, []
         for s in sent:
             own = masks[at : at + s["many"]]
             at += s["many"]
-            yield pa.RecordBatch.from_pylist([{"pack": s["pack"], "kind": 1, "bucket": s["bucket"], "body": pa.compress(own.tobytes(), codec="zstd", asbytes=True)}], schema=_ANSWER)
+            rows.append({"pack": s["pack"], "kind": 1, "bucket": s["bucket"], "body": pa.compress(own.tobytes(), codec="zstd", asbytes=True)})
+        yield pa.RecordBatch.from_pylist(rows, schema=_ANSWER)
 
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []

@@ -274,6 +274,25 @@ def test_suffix_order():
     assert keys == sorted(keys) and sorted(order.tolist()) == list(range(len(at)))
 
 
+def test_large_groups_of_suffixes():
+    """One phrase in changing surroundings gives one large group; equal windows, and time a suffix that doesn't grow."""
+    rng = np.random.default_rng(8)
+    n = 160_000
+    data = rng.integers(97, 123, (n, 50)).astype(np.uint8)
+    data[:, 10:34] = 45
+    data[n // 2 :] = data[rng.integers(0, n // 2, n // 2)]
+    at, ids = np.arange(n) * 50, rng.permutation(n).astype(np.int64)
+    seen: dict[bytes, int] = {}
+    for row, i in zip(data, ids.tolist(), strict=True):
+        seen[row.tobytes()] = min(i, seen.get(row.tobytes(), i))
+    began = time.thread_time()
+    got = suffixes.least_id(data.reshape(-1), at, np.zeros(n, np.int64), ids)
+    took = time.thread_time() - began
+    assert got.tolist() == [seen[row.tobytes()] for row in data]
+    assert suffixes.least_id(data.reshape(-1), at[:0], at[:0], ids[:0]).tolist() == []
+    assert took < 0.5
+
+
 def test_mixing(texts, odd, empty):
     docs = texts(*((i, "w " * (i % 7 + 1), None, ("a", "b", "c", None)[i % 4] if i < 396 else "tiny") for i in range(400)))
     rows = mixing.mix(docs, n_words(F.col("text"))).collect()
