@@ -110,10 +110,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
     # Nodes are small and come in few pieces, but each has some thirty anchors.
     roots = components(links(nodes.select("fp").repartition(partitions(docs.sparkSession), "fp")))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root"), "first")
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(least, "root").select("node", "component_id")
-    return own.join(named, F.col("fp") == F.col("node")).select("doc_id", *(["digest"] if digest else []), "fp", "component_id")
+    # Below its threshold Spark would broadcast whole columns of the table: each join here merges.
+    placed = nodes.join(roots.hint("merge"), nodes["fp"] == roots["node"], "left").select(F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root"), "first")
+    # The key as an aggregate is dealt out anew, and a large component's rows can be split.
+    least = placed.groupBy("root").agg(F.max("root").alias("top"), F.min("first").alias("component_id")).drop("root")
+    named = placed.join(least.hint("merge"), F.col("root") == F.col("top")).select("node", "component_id")
+    return own.join(named.hint("merge"), F.col("fp") == F.col("node")).select("doc_id", *(["digest"] if digest else []), "fp", "component_id")
 
 
 def shown(fp: Column) -> Column:

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from inkwarden.llm import components as linked
 from inkwarden.llm import fingerprints, langid, mixing, packing, queries, secrets, simhash, toxicity, vectors
 from inkwarden.llm.common import n_words, remainder
 from tests.llm.test_documents import plain_spans, slow_repeats, slow_simhash
@@ -90,6 +91,23 @@ def test_op5_broadcasts_no_anchors(spark, folder, monkeypatch):
     assert "Broadcast" not in plan
 
 
+def test_op5_broadcasts_nothing(spark, folder, monkeypatch):
+    """Every plan of the query that ran: nodes, rounds of the components and result, under Spark's own threshold."""
+    made, own = [], simhash.cut
+
+    def kept(df):
+        made.append(df)
+        return own(df)
+
+    monkeypatch.setattr(simhash, "cut", kept)
+    monkeypatch.setattr(linked, "cut", kept)
+    made.append(queries.QUERIES["op5_simhash_near_dedup"](spark, folder))
+    made[-1].collect()
+    plans = [df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0] for df in made]
+    assert not any("Broadcast" in plan or "isFinalPlan=false" in plan for plan in plans)
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 4
+
+
 def slow_mixed(x: int) -> int:
     for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
         x = (x ^ x >> 33) * factor & M
