@@ -50,3 +50,14 @@ def test_leet_as_by_its_pattern():
         runs = decoding.re.findall("[A-Za-z0-9]+", text)
         want = any(decoding.re.search("[A-Za-z][A-Za-z0-9]*[013457][A-Za-z0-9]*[A-Za-z]", r) and not decoding.re.fullmatch("[0-9A-Fa-f]{7,}", r) for r in runs)
         assert decoding.shows_leet(text.encode()) == want
+
+
+def test_kinds_asked_for_are_those_of_the_whole_search():
+    rnd = random.Random(3)
+    words = [base64.b64encode(f"a calm line no. {i}".encode()).decode() for i in range(30)] + [f"{i} calm lines of text".encode().hex() for i in range(9)] + ["c4lm", "and so on", "é", "\n"]
+    for most in (0, 1, 5, 60):
+        for _ in range(50):
+            text = " ".join(rnd.choices(words, k=most))
+            want = [c for c in decoding.expand(text, 1)[0] if c["chain"] == ["base64"]]
+            assert decoding.expand(text, 1, ("base64",))[0] == want
+    assert {k for k, *_ in decoding.layer(text, 1, "", ("rot13",))} == {"rot13"}
