@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -36,6 +37,22 @@ _RUNS = {kind: regex.compile(spelled(f"[{members}]+")) for kind, members in CONC
 _CONTROLS = bytes(b for b in range(128) if _RUNS["control_characters"].match(chr(b)))
 _HIDES = regex.compile(spelled(f"[{''.join(CONCEALING.values())}]"))
 _SUSPECT = re.compile("[" + "".join(LOOKALIKES) + "\uff01-\uff5e]")
+# Characters that a skeleton spells otherwise, and those that end a token: white space and ASCII but letters and digits.
+_SPELLED = re.compile("[" + "".join(LOOKALIKES) + "\uff01-\U0010ffff]")
+_BREAK = re.compile(r"[\s\x00-/:-@\[-`{-\x7f]")
+_ASCII_LETTER, _WIDE = re.compile("[A-Za-z]"), re.compile("[\uff01-\uffee]")
+
+
+class _Skeleton(dict):
+    """A table for str.translate, filled as characters are met."""
+
+    def __missing__(self, point: int) -> str:
+        x = chr(point)
+        self[point] = LOOKALIKES.get(x) or (unicodedata.normalize("NFKC", x) if point > 0xFF00 else x)
+        return self[point]
+
+
+_SKELETON = _Skeleton()
 
 
 def concealed_runs(text: str) -> list[tuple[str, int, int, str]]:
@@ -64,6 +81,7 @@ def recover_tags(run: str) -> str:
     return "".join(chr(ord(c) - 0xE0000) if 0xE0020 <= ord(c) <= 0xE007E else "" for c in run)
 
 
+@functools.cache
 def _script(c: str) -> str:
     name = unicodedata.name(c, "")
     return name.split(" ")[0] if unicodedata.category(c).startswith("L") else ""
@@ -77,32 +95,40 @@ def confusable_tokens(text: str) -> list[tuple[int, int, str, str]]:
     """
     if text.isascii() or not _SUSPECT.search(text):
         return []
-    found, token, at, begin = [], "", 0, 0
-    for c in text + " ":
-        if c.isspace() or c.isascii() and not c.isalnum():
-            if len(token) >= LEAST_TOKEN and not token.isascii():
-                skeleton = "".join(LOOKALIKES.get(x) or (unicodedata.normalize("NFKC", x) if ord(x) > 0xFF00 else x) for x in token)
-                scripts = {s for s in map(_script, token) if s}
-                latin, other = any(x.isascii() and x.isalpha() for x in token), any(x.isalpha() and not x.isascii() for x in token)
-                wide = any(0xFF00 < ord(x) < 0xFFEF for x in token)
-                if skeleton != token and skeleton.isascii() and any(x.isalpha() for x in skeleton) and (len(scripts) > 1 and latin and other or wide):
-                    found.append((begin, at, token, skeleton))
-            token = ""
-        else:
-            begin = begin if token else at
-            token += c
-        at += len(c.encode("utf-8", "surrogatepass"))
+    found, behind, at, size = [], 0, 0, 0
+    for m in _SPELLED.finditer(text):
+        if m.start() < behind:
+            continue
+        close = _BREAK.search(text, m.end())
+        begin, end = m.start(), close.start() if close else len(text)
+        while begin > behind and not _BREAK.match(text, begin - 1):
+            begin -= 1
+        behind, token = end, text[begin:end]
+        if len(token) < LEAST_TOKEN:
+            continue
+        skeleton = token.translate(_SKELETON)
+        if skeleton != token and skeleton.isascii() and _ASCII_LETTER.search(skeleton) and (_mixed(token) or _WIDE.search(token)):
+            start = size + len(text[at:begin].encode("utf-8", "surrogatepass"))
+            at, size = end, start + len(token.encode("utf-8", "surrogatepass"))
+            found.append((start, size, token, skeleton))
     return found
 
 
+def _mixed(token: str) -> bool:
+    """Whether letters of several scripts stand in a token, Latin ones of ASCII and others."""
+    latin, other = _ASCII_LETTER.search(token), any(x.isalpha() and not x.isascii() for x in token)
+    return bool(latin and other and len({s for s in map(_script, token) if s}) > 1)
+
+
 def _confusable(texts: list[str]) -> list:
     return [[dict(zip(("start", "end", "token", "skeleton"), x, strict=True)) for x in confusable_tokens(t)] for t in texts]
 
 
 def confusables(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, token, skeleton); texts without a look-alike letter never reach Python."""
+    """(doc_id, start, end, token, skeleton); ASCII texts never reach Python."""
     ship(docs.sparkSession)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("token", pa.string()), ("skeleton", pa.string())]))
     found = arrow_function(_confusable, kind, "array<struct<start:bigint,end:bigint,token:string,skeleton:string>>")
-    suspects = docs.where(F.col(text_col).rlike("[" + "".join(LOOKALIKES) + r"\x{FF01}-\x{FF5E}]"))
+    # A set of that many letters costs a Java pattern more than Python needs for the whole text.
+    suspects = docs.where(F.octet_length(text_col) > F.length(text_col))
     return suspects.select("doc_id", F.explode(found(F.col(text_col))).alias("c")).select("doc_id", "c.*")
