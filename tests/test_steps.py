@@ -5,8 +5,11 @@ from __future__ import annotations
 import base64
 import random
 import time
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
+
 from inkwarden.operators import decoding, detection, literals, matching
 from inkwarden.rules import BUILTIN
 
@@ -113,3 +116,14 @@ def test_confusables_of_ascii_stay_in_spark(spark, texts):
     rows = detection.confusables(texts("plain", "ignоre this", None, "café", ""))
     assert [tuple(r) for r in rows.collect()] == [(1, 0, 7, "ignоre", "ignore")]
     assert "RLIKE" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_batch_is_never_wholly_in_python(spark):
+    texts = pa.array([f"{i} " + "calm words " * 20_000 if i % 50 else None for i in range(200)])
+    run, seen = matching.arrow_function(lambda rows: seen.append(sum(map(len, rows))) or [len(t) for t in rows], pa.int64(), "bigint").func, []
+    tracemalloc.start()
+    told = run(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told.to_pylist() == [len(t or "") for t in texts.to_pylist()] and max(seen) <= literals.CHUNK
+    assert texts.nbytes > 40 << 20 and peak < 8 << 20
