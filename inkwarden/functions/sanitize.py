@@ -25,6 +25,9 @@ def sanitize(text: str | bytes, most: int) -> tuple[str, bool]:
     """
     if isinstance(text, bytes):
         text = text.decode("utf-8", "surrogateescape")
+    head = text[: most + 1]
+    if head.isascii() and not DANGEROUS.search(head):
+        return head[:most], len(head) > most
     out, size = [], 0
     for c in text:
         unit = f"\\x{ord(c) - 0xDC00:02x}" if 0xDC80 <= ord(c) <= 0xDCFF else escape(c) if DANGEROUS.match(c) else c

@@ -35,7 +35,7 @@ LOOKALIKES = dict(
 
 _RUNS = {kind: regex.compile(spelled(f"[{members}]+")) for kind, members in CONCEALING.items()}
 _CONTROLS = bytes(b for b in range(128) if _RUNS["control_characters"].match(chr(b)))
-_HIDES = regex.compile(spelled(f"[{''.join(CONCEALING.values())}]"))
+_HIDES = re.compile(spelled(f"[{''.join(CONCEALING.values())}]"))
 _SUSPECT = re.compile("[" + "".join(LOOKALIKES) + "\uff01-\uff5e]")
 # Characters that a skeleton spells otherwise, and those that end a token: white space and ASCII but letters and digits.
 _SPELLED = re.compile("[" + "".join(LOOKALIKES) + "\uff01-\U0010ffff]")

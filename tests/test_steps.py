@@ -10,6 +10,7 @@ import unicodedata
 
 import pyarrow as pa
 
+import inkwarden.functions.sanitize as sanitizing
 from inkwarden.operators import decoding, detection, literals, matching
 from inkwarden.rules import BUILTIN
 
@@ -127,3 +128,22 @@ def test_a_batch_is_never_wholly_in_python(spark):
     tracemalloc.stop()
     assert told.to_pylist() == [len(t or "") for t in texts.to_pylist()] and max(seen) <= literals.CHUNK
     assert texts.nbytes > 40 << 20 and peak < 8 << 20
+
+
+def test_excerpts_as_character_by_character():
+    rnd, plain = random.Random(5), lambda c: sanitizing.escape(c) if sanitizing.DANGEROUS.match(c) else c
+    for _ in range(4000):
+        text, most, want = "".join(rnd.choices("abc \n\x7fé​", k=rnd.randrange(12), weights=[9, 9, 9, 9, 1, 1, 1, 1])), rnd.randrange(12), ""
+        for unit in map(plain, text):
+            if len((want + unit).encode()) > most:
+                break
+            want += unit
+        assert sanitizing.sanitize(text, most) == (want, want != "".join(map(plain, text)))
+
+
+def test_a_plain_excerpt_is_not_taken_apart(monkeypatch):
+    class Once:
+        search = staticmethod(lambda t: None)
+
+    monkeypatch.setattr(sanitizing, "DANGEROUS", Once)
+    assert sanitizing.sanitize("calm " * 1000, 256) == (("calm " * 1000)[:256], True) and sanitizing.sanitize("calm", 4) == ("calm", False)
